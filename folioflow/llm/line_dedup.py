@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower
+from .common import SPACE, ascii_lower, staged
 
 _ID, _TH, _POS, _AT, _H = "__ld_id", "__ld_text_hash", "__ld_dropped", "__ld_at", "__ld_key"
 
@@ -42,6 +42,7 @@ def dropped_positions(docs: DataFrame, min_docs: int, min_chars: int, id_col: st
     )
     lines = texts.select(_ID, _TH, F.posexplode(_H).alias(_AT, _H)).where(F.col(_H).isNotNull())
     frequent = lines.groupBy(_H, _ID).agg(F.lit(1).alias("one")).groupBy(_H).agg(F.count("one").alias("n")).where(F.col("n") >= min_docs).select(_H)
+    frequent = staged(frequent, "frequent-lines")  # so both sides of the join are dealt out anew and a hot line's rows can be split
     return lines.join(frequent, _H).groupBy(_ID, _TH).agg(F.sort_array(F.collect_list(_AT)).alias(_POS))
 
 
