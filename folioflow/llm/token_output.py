@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ MAGIC = b"FFRP0001"
 BLOCK_IDS = 1 << 19
 #: A pair is replaced while it is at least this frequent in its block; a rule costs 12 bytes and saves 2 a use.
 MIN_COUNT = 8
-_MEMO_LIMIT = 400_000
+MEMO_LIMIT = 600_000
+_MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
 _encoders: dict = {}
 
 
@@ -43,61 +45,67 @@ class Encoder:
     """Encodes texts by the tokenizers library, each different run between spaces once.
 
     The vocabulary's own first step splits at white space, so runs between space, tab and newline are encoded apart
-    and give the same ids as the whole text. The memo is bounded; runs beyond it are encoded again.
+    and give the same ids as the whole text. The memo is bounded: once full it stays as it is, and runs it doesn't
+    have are encoded for the call at hand.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.memo = Tokenizer.from_file(path), {}
-        self.flat, self.starts, self.used = np.empty(1 << 20, np.uint32), np.zeros(1, np.int64), 0
-        self.lens = np.zeros(0, np.int64)
+        self.tok, self.memo, self.used, self.n = Tokenizer.from_file(path), {}, 0, 0
+        self.flat, self.starts, self.lens = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._add([""])
 
-    def _add(self, new: list[str], memo: dict) -> None:
-        coded = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        base = len(self.lens)
-        memo.update(zip(new, range(base, base + len(new)), strict=True))
+    def _coded(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)]
         lens = np.fromiter(map(len, coded), np.int64, len(coded))
-        ids = np.fromiter((i for c in coded for i in c), np.uint32, int(lens.sum()))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(lens.sum())), lens
+
+    def _add(self, runs: list[str]) -> None:
+        ids, lens = self._coded(runs)
+        k = len(runs)
+        while self.n + k > len(self.lens):
+            self.starts, self.lens = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.lens))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts[:base], self.used + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.used += len(ids)
+        self.starts[self.n : self.n + k], self.lens[self.n : self.n + k] = self.used + np.cumsum(lens) - lens, lens
+        self.memo.update(zip(runs, range(self.n, self.n + k), strict=True))
+        self.used, self.n = self.used + len(ids), self.n + k
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and how many each text has."""
-        runs = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) > _MEMO_LIMIT:
-            self.__init_memo()
-            memo = self.memo
-        seen = dict.fromkeys(w for r in runs for w in r if w not in memo)
-        seen.pop("", None)
-        if "" not in memo:
-            self._add([""], memo)
-        if seen:
-            self._add(list(seen), memo)
-        counts = np.fromiter(map(len, runs), np.int64, len(runs))
-        at = np.fromiter((memo[w] for r in runs for w in r), np.int64, int(counts.sum()))
-        lens = self.lens[at]
-        per_doc = np.add.reduceat(np.append(lens, 0), np.minimum(np.cumsum(counts) - counts, len(lens))) if len(runs) else np.zeros(0, np.int64)
-        per_doc[counts == 0] = 0
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        runs = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.memo.get, runs, repeat(-1)), np.int64, len(runs))
+        missing = np.flatnonzero(at < 0)
+        flat, starts, lens_of = self.flat, self.starts, self.lens
+        if len(missing):
+            words = [runs[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(words))
+            if self.n < MEMO_LIMIT:
+                self._add(new)
+                at[missing] = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+                flat, starts, lens_of = self.flat, self.starts, self.lens
+            else:
+                ids, lens = self._coded(new)
+                place = dict(zip(new, range(self.n, self.n + len(new)), strict=True))
+                at[missing] = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                flat = np.concatenate([flat[: self.used], ids])
+                starts, lens_of = np.concatenate([starts[: self.n], self.used + np.cumsum(lens) - lens]), np.concatenate([lens_of[: self.n], lens])
+        lens = lens_of[at]
+        before = np.concatenate([[0], np.cumsum(lens)])
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        per_doc = before[edges[1:]] - before[edges[:-1]]
+        total = int(before[-1])
         # one gather for all: the start of each run's ids, stepped along
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)] if total else np.empty(0, np.uint32)
-        out = np.empty(total + len(runs), np.uint32)
-        stops = np.cumsum(per_doc + 1) - 1
-        mask = np.ones(len(out), bool)
+        ids = flat[np.repeat(starts[at] - before[:-1], lens) + np.arange(total)]
+        out, stops, mask = np.empty(total + len(texts), np.uint32), np.cumsum(per_doc + 1) - 1, np.ones(total + len(texts), bool)
         mask[stops] = False
         out[mask], out[stops] = ids, end
         return out, per_doc + 1
 
-    def __init_memo(self) -> None:
-        self.memo, self.starts, self.lens, self.used = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
@@ -118,30 +126,29 @@ def re_pair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np
     while len(seq) > 1 and room > 0:
         keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
         order = np.sort(keys)
-        cut = np.flatnonzero(np.diff(order)) + 1
-        starts = np.concatenate([[0], cut])
-        n = np.diff(np.concatenate([starts, [len(order)]]))
+        starts = np.concatenate([[0], np.flatnonzero(order[1:] != order[:-1]) + 1, [len(order)]])
+        n = np.diff(starts)
         often = n >= min_count
         if not often.any():
             break
-        pairs, n = order[starts[often]], n[often]
-        if len(pairs) > room:
-            keep = np.sort(np.argpartition(-n, room - 1)[:room])
-            pairs, n = pairs[keep], n[keep]
-        rank_of = np.empty(len(pairs), np.int64)
-        rank_of[np.argsort(-n, kind="stable")] = np.arange(len(pairs))
-        at = np.searchsorted(pairs, keys)
-        at[at == len(pairs)] = 0
-        hit = pairs[at] == keys
-        rank = np.where(hit, rank_of[at], len(pairs))
-        # runs of one rank: every other position stays
-        new_run = np.ones(len(rank), bool)
-        new_run[1:] = rank[1:] != rank[:-1]
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(rank)), 0))
-        rank = np.where((np.arange(len(rank)) - run_start) & 1, len(pairs), rank)
-        pad = np.concatenate([[len(pairs)], rank, [len(pairs)]])
+        pairs, n = order[starts[:-1][often]], n[often]
+        pairs = pairs[np.argsort(-n, kind="stable")][:room]  # place in this order is rank
+        # ranks are looked up by hash; of pairs with one hash the more frequent one has the place, the others wait for the next pass
+        slots = np.zeros(1 << 18, np.int32)
+        slots[(pairs[::-1] * _MIX) >> _SHIFT] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+        at = slots[(keys * _MIX) >> _SHIFT]
+        rank = np.where(pairs[at] == keys, at, np.int32(len(pairs)))
+        # in a run of one pair every other position stays
+        same = rank[1:] == rank[:-1]
+        same &= rank[1:] < len(pairs)
+        if same.any():
+            place = np.arange(len(rank))
+            first_of_run = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), place, 0))
+            rank[(place - first_of_run) & 1 == 1] = len(pairs)
+        pad = np.concatenate([[len(pairs)], rank, [len(pairs)]]).astype(np.int32)
         chosen = np.flatnonzero((rank < pad[:-2]) & (rank < pad[2:]))
-        used = np.unique(at[chosen])
+        picked = rank[chosen]
+        used = np.flatnonzero(np.bincount(picked, minlength=len(pairs)))
         if not len(used):
             break
         new_symbol = np.zeros(len(pairs), np.uint32)
@@ -152,7 +159,7 @@ def re_pair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np
         lengths.append(length_of[-len(used) :])
         room -= len(used)
         before = len(seq)
-        seq[chosen] = new_symbol[at[chosen]]
+        seq[chosen] = new_symbol[picked]
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
         seq = seq[keep]
@@ -212,6 +219,15 @@ class BlockReader:
             symbols = out
         return symbols.astype(np.uint32)
 
+    def all_ids(self) -> np.ndarray:
+        """All ids of the block: the rules are expanded once, and the sequence is gathered from them."""
+        of_rules = self.expand(np.arange(self.first, self.first + len(self.rules)))
+        flat = np.concatenate([np.arange(self.first, dtype=np.uint32), of_rules])
+        rule_starts = self.first + np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        start_of = np.concatenate([np.arange(self.first), rule_starts])
+        lens = self._length(self.seq)
+        return flat[np.repeat(start_of[self.seq] - (self.ends - lens), lens) + np.arange(self.n_ids)]
+
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start .. stop - 1 of the block; only the symbols that cover them are expanded."""
         a, b = int(np.searchsorted(self.ends, start, "right")), int(np.searchsorted(self.ends, stop, "left")) + 1
@@ -291,7 +307,7 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
             for file, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{root}/{file}") as stream:
                     for b in read_blocks(stream):
-                        ids = b.expand(b.seq).astype("<u4")
+                        ids = b.all_ids().astype("<u4", copy=False)
                         stops = np.cumsum(b.counts.astype(np.int64))
                         starts = stops - b.counts
                         crc = [zlib.crc32(ids[x:y]) for x, y in zip(starts.tolist(), stops.tolist(), strict=True)]
