@@ -40,6 +40,7 @@ def dropped_positions(docs: DataFrame, min_docs: int, min_chars: int, id_col: st
         .groupBy(_ID, _TH)
         .agg(F.first(_H).alias(_H))
     )
+    texts = staged(texts, "line-keys")
     lines = texts.select(_ID, _TH, F.posexplode(_H).alias(_AT, _H)).where(F.col(_H).isNotNull())
     frequent = lines.groupBy(_H, _ID).agg(F.lit(1).alias("one")).groupBy(_H).agg(F.count("one").alias("n")).where(F.col("n") >= min_docs).select(_H)
     frequent = staged(frequent, "frequent-lines")  # so both sides of the join are dealt out anew and a hot line's rows can be split
