@@ -5,10 +5,10 @@ value; in round T + j all fall into coordinate j. Rounds stop as soon as every c
 filled, so a set of n shingles costs about n + T log T steps and no coordinate stays empty.
 
 Links are exact: texts with the same shingle set are one class, and pairs of classes that share a
-band are compared on their full sets. Pairs within a band aren't all emitted: in each round the
-members meet 1, 2, 4, ... further members of their band, and those already in one component, or too
-unequal in size to be similar, are passed over; the rounds end when no band has an unmet pair of
-different components. No cap is set on bands or partners. With bands of R rows a pair at similarity s is
+band are compared on their full sets. Pairs within a band aren't all emitted: all members meet the first and
+then the last of their band; what is linked then is one component. Bands that still hold several components
+are dealt into blocks of bounded size, and pairs of blocks count the common shingles of their members of different
+components through an index, giving at most a link for each two components. No cap is set on bands or partners. With bands of R rows a pair at similarity s is
 met with probability 1 - (1 - s^R)^B: at 0.8, R = 4 and B = 24, all but 3e-6.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of fewer
@@ -23,13 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, ship, staged
 
 BANDS, ROWS = 24, 4
 T = BANDS * ROWS
+#: Shingles in a block of a crowded band.
+BLOCK = 1 << 16
 _MEMO_LIMIT = 500_000
 
 
@@ -126,6 +128,50 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "both"])
 
 
+def _links_of_blocks(percent: int):
+    """Links between different components of two blocks of a band (or within one), as few as join the same."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cls, comp, side = (table.column(c).to_numpy() for c in ("class", "component", "side"))
+        one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        sets = table.column("shingles").chunk(0) if table.num_rows else None
+        offsets, values = np.asarray(sets.offsets), np.asarray(sets.values)
+        sizes = np.diff(offsets)
+        values = values[offsets[0] : offsets[-1]]
+        owner = np.repeat(np.arange(len(cls)), sizes)
+        order = np.argsort(values, kind="stable")
+        by_value, by_owner = values[order], owner[order]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                x = y
+            return x
+
+        out_a, out_b = [], []
+        starts = offsets - offsets[0]
+        for x in range(len(cls)):
+            if not one_block and side[x] == 1:
+                continue
+            mine = values[starts[x] : starts[x + 1]]
+            lo, hi = np.searchsorted(by_value, mine, "left"), np.searchsorted(by_value, mine, "right")
+            n = hi - lo
+            hits = by_owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            both = np.bincount(hits, minlength=len(cls))
+            near = (100 * both >= percent * (sizes[x] + sizes - both)) & (comp != comp[x])
+            near &= np.arange(len(cls)) > x if one_block else side == 1
+            for y in np.flatnonzero(near).tolist():
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out_a.append(int(cls[x]))
+                    out_b.append(int(cls[y]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the least id that each end of edges(a, b) reaches, by alternating large and small stars.
 
@@ -165,9 +211,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     banded = classes.select("class", "n_shingles", F.posexplode("bands").alias("at", "h")).select("class", "n_shingles", F.xxhash64("at", "h").alias("band"))
     crowded = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     met = staged(banded.join(crowded, "band"), "bands")
-    links = _links(docs, met, classes, shingle, percent, text_col)
-    of = components(links, "component-edges")
-    joined = classes.join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    label = _labels(docs, met, classes, shingle, percent, text_col)
+    joined = classes.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = staged(joined.join(least, "component").select("n_shingles", "f1", "f2", "component_id"), "class-components")
     out = rows.alias("r").join(ids.alias("c"), (F.col("r.f1") == F.col("c.f1")) & (F.col("r.f2") == F.col("c.f2")) & (F.col("r.n_shingles") == F.col("c.n_shingles")), "left")
@@ -175,43 +220,61 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select(F.col("r.id").alias("doc_id"), "r.n_shingles", component.alias("component_id"), F.col("r.id").eqNullSafe(component).alias("kept"), F.col("r.key").alias("text_key"))
 
 
-def _links(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle: int, percent: int, text_col: str) -> DataFrame:
-    """Links (a, b) of classes that join all that is similar, though not every pair of one component."""
-    spark = docs.sparkSession
-    # the full sets of classes that share a band with another, from their texts
+def _labels(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle: int, percent: int, text_col: str) -> DataFrame:
+    """(class, component) of the classes that share a band with another; met: (band, class, n_shingles, members)."""
+    # the full sets of these classes, from their texts
     wanted = met.select("class").distinct().join(classes.select("class", "class_key"), "class")
     keyed = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).cast("binary").alias("text"))
     texts = keyed.join(wanted, F.col("key") == F.col("class_key")).groupBy("class").agg(F.first("text").alias("text"))
     sets = staged(texts.mapInArrow(_set_batches(shingle), "class long, shingles array<long>"), "sets")
-    # the place of each member in its band
-    place = staged(met.select("band", "class", "n_shingles", F.row_number().over(Window.partitionBy("band").orderBy("class")).alias("at"), F.count("*").over(Window.partitionBy("band")).alias("members")), "places")
-    links, tried, label = None, None, place.select("class", F.col("class").alias("component")).distinct()
-    start, width, most = 1, 1, place.agg(F.max("members")).first()[0] or 0
-    while start < most:
-        now = place.where(F.col("members") > start).join(label, "class")
-        # heads: places start .. start + width - 1; each member further on meets them, unless it is joined already
-        heads = now.where((F.col("at") >= start) & (F.col("at") < start + width)).select("band", F.col("class").alias("head"), F.col("n_shingles").alias("n_head"), F.col("component").alias("c_head"), F.col("at").alias("at_head"))
-        open_bands = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-        pairs = (
-            now.join(open_bands, "band").join(heads, "band")
-            .where(f"at > at_head AND component <> c_head AND 100 * least(n_shingles, n_head) >= {percent} * greatest(n_shingles, n_head)")
-            .select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b"), F.when(F.col("class") < F.col("head"), F.col("n_shingles")).otherwise(F.col("n_head")).alias("na"), F.when(F.col("class") < F.col("head"), F.col("n_head")).otherwise(F.col("n_shingles")).alias("nb"))
-            .distinct()
+    label = staged(met.select("class", F.col("class").alias("component")).distinct(), "labels")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """The labels, with the components that links (a, b) join made one."""
+        la, lb = label.select(F.col("class").alias("a"), F.col("component").alias("x")), label.select(F.col("class").alias("b"), F.col("component").alias("y"))
+        of = components(links.join(la, "a").join(lb, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")), "component-edges")
+        of = of.select(F.col("id").alias("component"), F.col("component").alias("to"))
+        return staged(label.join(of, "component", "left").select("class", F.coalesce("to", "component").alias("component")), "labels")
+
+    # two rounds: the members of a band meet its first, then its last member; bands of up to three are done then
+    for pick in (F.min, F.max):
+        now = met.join(label, "class")
+        ends = now.groupBy("band").agg(pick(F.struct("class", "n_shingles", "component")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        heads = staged(ends.where("lo <> hi").select("band", F.col("h.class").alias("head"), F.col("h.n_shingles").alias("n_head"), F.col("h.component").alias("c_head")), "heads")
+        ordered = F.col("class") < F.col("head")
+        pairs = now.join(heads, "band").where(f"component <> c_head AND 100 * least(n_shingles, n_head) >= {percent} * greatest(n_shingles, n_head)").select(
+            F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b"),
+            F.when(ordered, F.col("n_shingles")).otherwise(F.col("n_head")).alias("na"), F.when(ordered, F.col("n_head")).otherwise(F.col("n_shingles")).alias("nb"),
         )
-        pairs = staged(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-        if pairs.isEmpty():
-            if start > 1 and now.join(open_bands, "band").isEmpty():
-                break
-        else:
-            sa, sb = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
-            both = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "set_a", "set_b").mapInArrow(_intersections, "a long, b long, both long")
-            found = staged(both.join(pairs, ["a", "b"]).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b"), "links")
-            tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-            links = found if links is None else links.union(found)
-            label = components(links, "labels")
-            label = staged(place.select("class").distinct().join(label.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "labels")
-        start, width = start + width, width * 2
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
+        pairs = staged(pairs.distinct(), "pairs")
+        sa, sb = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
+        both = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "set_a", "set_b").mapInArrow(_intersections, "a long, b long, both long")
+        links = staged(both.join(pairs, ["a", "b"]).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b"), "links")
+        label = merged(links)
+    # the rest: bands of several components, in blocks of bounded size; blocks of one and the same component don't meet
+    now = staged(met.where("members > 3").join(label, "class").drop("members"), "open-members")
+    open_ = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    parts = staged(now.join(open_, "band").groupBy("band", "component").agg(F.sum("n_shingles").alias("size")), "open-parts")
+    if parts.isEmpty():
+        return label
+    rest = parts.where(F.col("size") < BLOCK).groupBy("band").agg(F.ceil(F.sum("size") / BLOCK).alias("rest_blocks"))
+    # a large component has blocks of its own; small ones share the band's remaining blocks
+    plan = parts.join(rest, "band", "left").select(
+        "band", "component", (F.col("size") >= BLOCK).alias("own"),
+        F.when(F.col("size") >= BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(F.col("rest_blocks")).alias("blocks"),
+    )
+    deal = F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks"))
+    name = F.when(F.col("own"), F.concat_ws("/", F.col("component").cast("string"), deal.cast("string"))).otherwise(F.concat(F.lit("/"), deal.cast("string")))
+    tagged = staged(now.join(plan, ["band", "component"]).select("band", "class", "component", "own", name.alias("block")), "open-blocks")
+    blocks = tagged.groupBy("band", "block").agg(F.max(F.when(F.col("own"), F.col("component"))).alias("only"))
+    left, right = blocks.select("band", F.col("block").alias("i"), F.col("only").alias("only_i")), blocks.select("band", F.col("block").alias("j"), F.col("only").alias("only_j"))
+    meet = staged(left.join(right, "band").where("i <= j AND (only_i IS NULL OR only_j IS NULL OR only_i <> only_j)").select("band", "i", "j"), "block-pairs")
+    mine = tagged.select("band", "class", "component", "block")
+    rows = mine.join(meet, (mine["band"] == meet["band"]) & (mine["block"] == meet["i"])).select(meet["band"], "i", "j", "class", "component", F.lit(0).alias("side")).union(
+        mine.join(meet, (mine["band"] == meet["band"]) & (mine["block"] == meet["j"]) & (meet["i"] < meet["j"])).select(meet["band"], "i", "j", "class", "component", F.lit(1).alias("side"))
+    )
+    links = rows.join(sets, "class").groupBy("band", "i", "j").applyInArrow(_links_of_blocks(percent), "a long, b long")
+    return merged(staged(links.distinct(), "links"))
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
