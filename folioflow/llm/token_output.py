@@ -36,9 +36,12 @@ MAGIC = b"FFRP0001"
 BLOCK_IDS = 1 << 19
 #: A pair is replaced while it is at least this frequent in its block; a rule costs 12 bytes and saves 2 a use.
 MIN_COUNT = 8
-MEMO_LIMIT = 600_000
+MEMO_LIMIT = 1_000_000
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
 _encoders: dict = {}
+#: The signs that byte-level vocabularies write bytes as: printable Latin-1 as itself, the rest from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 
 
 class Encoder:
@@ -54,12 +57,35 @@ class Encoder:
 
         self.tok, self.memo, self.used, self.n = Tokenizer.from_file(path), {}, 0, 0
         self.flat, self.starts, self.lens = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.model, self.marks = self.tok.model, {}
         self._add([""])
+        self.marks = {m: self.tok.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
+
+    def _word(self, core: str) -> list[int]:
+        """Ids of a lower-case word of Latin-1 letters: one piece for the library's model, its bytes as the model's signs."""
+        if core.isascii():
+            return [t.id for t in self.model.tokenize(core)]
+        return [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(_BYTE_SIGNS))]
 
     def _coded(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        coded = [e.ids for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)]
-        lens = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter(chain.from_iterable(coded), np.uint32, int(lens.sum())), lens
+        """All ids and how many each run has. Plain words skip the vocabulary's first steps, which only lower them, and
+        a full stop or comma after a word is a piece of its own; all other runs take those steps."""
+        out, other = [None] * len(runs), []
+        for k, run in enumerate(runs):
+            core, last = run.lower(), None
+            if core[-1:] in self.marks:
+                core, last = core[:-1], self.marks[core[-1]]
+            if not (core.isalpha() and max(core) <= "\xff" and len(core) == len(run) - (last is not None)):
+                other.append(k)
+                continue
+            at = self.memo.get(core)
+            ids = self.flat[self.starts[at] : self.starts[at] + self.lens[at]].tolist() if at is not None else self._word(core)
+            out[k] = ids if last is None else [*ids, last]
+        if other:
+            for k, e in zip(other, self.tok.encode_batch_fast([runs[k] for k in other], add_special_tokens=False), strict=True):
+                out[k] = e.ids
+        lens = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(lens.sum())), lens
 
     def _add(self, runs: list[str]) -> None:
         ids, lens = self._coded(runs)
