@@ -36,7 +36,7 @@ MAGIC = b"FFRP0001"
 BLOCK_IDS = 1 << 19
 #: A pair is replaced while it is at least this frequent in its block; a rule costs 12 bytes and saves 2 a use.
 MIN_COUNT = 8
-MEMO_LIMIT = 1_000_000
+MEMO_LIMIT = 1_300_000
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
 _encoders: dict = {}
 #: The signs that byte-level vocabularies write bytes as: printable Latin-1 as itself, the rest from 256 on.
@@ -75,7 +75,7 @@ class Encoder:
             core, last = run.lower(), None
             if core[-1:] in self.marks:
                 core, last = core[:-1], self.marks[core[-1]]
-            if not (core.isalpha() and max(core) <= "\xff" and len(core) == len(run) - (last is not None)):
+            if not (core.isalpha() and (core.isascii() or max(core) <= "\xff") and len(core) == len(run) - (last is not None)):
                 other.append(k)
                 continue
             at = self.memo.get(core)
@@ -101,7 +101,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and how many each text has."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
+        # a text of Latin-1 is lowered as a whole, as the vocabulary does sign by sign; so fewer runs differ
+        split = [(t.lower() if t.isascii() or max(t) <= "\xff" else t).replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         runs = list(chain.from_iterable(split))
         at = np.fromiter(map(self.memo.get, runs, repeat(-1)), np.int64, len(runs))
