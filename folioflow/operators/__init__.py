@@ -1,0 +1 @@
+"""Operators over DataFrames: graphs, retrieval, extraction, evaluation, validation and lifecycle."""
