@@ -46,7 +46,11 @@ def language(text: Column) -> Column:
     n = F.size(tokens)
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
     cyrillic = F.when(letters > 0, F.regexp_count(t, F.lit("[Ѐ-ӿ]")) / letters).otherwise(0.0)
-    share = {k: F.when(n > 0, F.size(F.filter(tokens, lambda x, ws=ws: x.isin(ws))) / n).otherwise(0.0) for k, ws in FUNCTION_WORDS.items()}
+
+    def share_of(ws: list[str]) -> Column:
+        return F.when(n > 0, F.size(F.filter(tokens, lambda x: x.isin(ws))) / n).otherwise(0.0)
+
+    share = {k: share_of(ws) for k, ws in FUNCTION_WORDS.items()}
     best = F.greatest(share["en"], share["de"], share["fr"])
     name = F.when(share["en"] == best, "en").when(share["de"] == best, "de").otherwise("fr")
 

@@ -1,0 +1 @@
+"""Named queries over the driver's tables, each with the SQL that gives the same rows."""
