@@ -195,7 +195,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, and text_key (md5 of the text)."""
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, text_key (md5 of the text), and group, a number
+    of the component that differs even where components share their least doc_id (null without words)."""
     ship(docs.sparkSession)
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     sketched = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), key.alias("key")).alias("doc"), F.col(text_col).cast("binary").alias("text"))
@@ -214,10 +215,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     label = _labels(docs, met, classes, shingle, percent, text_col)
     joined = classes.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = staged(joined.join(least, "component").select("n_shingles", "f1", "f2", "component_id"), "class-components")
+    ids = staged(joined.join(least, "component").select("n_shingles", "f1", "f2", "component", "component_id"), "class-components")
     out = rows.alias("r").join(ids.alias("c"), (F.col("r.f1") == F.col("c.f1")) & (F.col("r.f2") == F.col("c.f2")) & (F.col("r.n_shingles") == F.col("c.n_shingles")), "left")
     component = F.when(F.col("r.n_shingles") > 0, F.col("c.component_id")).otherwise(F.col("r.id"))
-    return out.select(F.col("r.id").alias("doc_id"), "r.n_shingles", component.alias("component_id"), F.col("r.id").eqNullSafe(component).alias("kept"), F.col("r.key").alias("text_key"))
+    return out.select(F.col("r.id").alias("doc_id"), "r.n_shingles", component.alias("component_id"), F.col("r.id").eqNullSafe(component).alias("kept"), F.col("r.key").alias("text_key"), F.col("c.component").alias("group"))
 
 
 def _labels(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle: int, percent: int, text_col: str) -> DataFrame:
@@ -282,20 +283,25 @@ def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, i
 
     Rows without words are no group and all stay.
     """
-    judged = near_duplicates(docs, shingle, percent, id_col, text_col)
-    bad = judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    judged = near_duplicates(docs, shingle, percent, id_col, text_col).where("n_shingles > 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_key").alias("key"))
+    first = judged.groupBy("group").agg(F.min(rank).alias("first"))
+    rows = staged(judged.join(first, "group").select("doc_id", "text_key", (rank == F.col("first")).alias("stays")), "representatives")
     left = docs.withColumn("__own_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    stay = left.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left_anti")
+
+    def of(df: DataFrame):
+        named = df.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+        return named, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key"))
+
+    stay = left.join(*of(rows.where("NOT stays")), "left_anti")
     # rows that repeat an id and its text
-    again = judged.where("kept AND n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = rows.where("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return stay.drop("__own_key")
-    again = again.select(F.col("doc_id").alias("__id"))
-    once = stay.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").drop("__own_key")
-    same = stay.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return once.unionByName(same.dropDuplicates([id_col]).drop("__own_key"))
+    once, same = stay.join(*of(again), "left_anti"), stay.join(*of(again), "left_semi")
+    return once.unionByName(same.dropDuplicates([id_col, "__own_key"])).drop("__own_key")
 
 
 def op9(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs, shingle=4).drop("text_key")
+    return near_duplicates(docs, shingle=4).drop("text_key", "group")
