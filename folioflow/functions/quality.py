@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import words
-
 #: Samples of function words by language, in the order in which ties are decided.
 FUNCTION_WORDS = {
     "en": "the and of to in a is that for on with as by this are from be or an".split(),
@@ -17,12 +15,9 @@ FUNCTION_WORDS = {
 MIN_WORDS = {"web": 50, "scholarly": 15}
 
 
-def body_measures(text: Column) -> Column:
-    """word_count, mean_word_len, symbol_ratio and the share of the most frequent trigram."""
-    w = words(text)
-    n = F.size(w)
-    letters = F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x))
-    signs = F.regexp_count(text, F.lit("[#….!?$%*@]+"))
+def body_measures(text: Column, w: Column) -> Column:
+    """word_count, mean_word_len and symbol_ratio of a text and its words (a column, so they are split once)."""
+    n, letters, signs = F.size(w), F.length(F.array_join(w, "")), F.regexp_count(text, F.lit("[#….!?$%*@]+"))
     return F.struct(
         n.alias("word_count"), F.when(n > 0, letters / n).otherwise(0.0).alias("mean_word_len"),
         F.when(n > 0, signs / n).otherwise(F.when(F.trim(text) == "", 0.0).otherwise(1.0)).alias("symbol_ratio"),
@@ -39,32 +34,38 @@ def body_status(words_: Column, mean_len: Column, symbols: Column, top_share: Co
     return F.when(words_ == 0, "empty").when(short | odd | repeats, "soft_signal").otherwise("ok")
 
 
-def language(text: Column) -> Column:
-    """(language, confidence): by the share of Cyrillic letters, else by shares of function words."""
-    t = F.trim(text)
+def with_language(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with language and confidence: by the share of Cyrillic letters, else by shares of function words.
+
+    Tokens and shares are columns of their own on the way, so each text is split once.
+    """
+    own = [c for c in df.columns if c not in ("language", "confidence")]
+    t = F.trim(F.col(text_col))
     tokens = F.regexp_extract_all(F.lower(t), F.lit("([a-zЀ-ӿÀ-ɏ]+)"), 1)
-    n = F.size(tokens)
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    cyrillic = F.when(letters > 0, F.regexp_count(t, F.lit("[Ѐ-ӿ]")) / letters).otherwise(0.0)
-
-    def share_of(ws: list[str]) -> Column:
-        return F.when(n > 0, F.size(F.filter(tokens, lambda x: x.isin(ws))) / n).otherwise(0.0)
-
-    share = {k: share_of(ws) for k, ws in FUNCTION_WORDS.items()}
-    best = F.greatest(share["en"], share["de"], share["fr"])
-    name = F.when(share["en"] == best, "en").when(share["de"] == best, "de").otherwise("fr")
-
-    def result(lang, confidence) -> Column:
-        return F.struct((F.lit(lang) if isinstance(lang, str) else lang).alias("language"), F.round(confidence if isinstance(confidence, Column) else F.lit(confidence), 4).alias("confidence"))
-
-    return (
-        F.when(t.isNull() | (t == ""), result("unknown", 0.0))
-        .when(cyrillic >= 0.35, result("ru", F.least(F.lit(0.99), 0.55 + cyrillic * 0.35 + share["ru"])))
-        .when(n < 3, result("unknown", 0.1))
-        .when((best <= 0) & (n >= 8), result("en", 0.35))
-        .when(best < 0.02, result("unknown", best))
-        .otherwise(result(name, F.least(F.lit(0.95), 0.35 + best * 4.0)))
-    )
+    # one pass over the tokens keeps the function words; each language then counts its own
+    every = sorted({w for ws in FUNCTION_WORDS.values() for w in ws})
+    a = df.select(*own, (t.isNull() | (t == "")).alias("__none"), tokens.alias("__t"), F.regexp_count(t, F.lit(r"\p{L}")).alias("__letters"), F.regexp_count(t, F.lit("[Ѐ-ӿ]")).alias("__cyr"))
+    a = a.select(*own, "__none", "__letters", "__cyr", F.size("__t").alias("__n"), F.filter("__t", lambda x: x.isin(every)).alias("__f"))
+
+    def share(ws: list[str]) -> Column:
+        return F.when(F.col("__n") > 0, F.size(F.filter("__f", lambda x: x.isin(ws))) / F.col("__n")).otherwise(0.0)
+
+    s = a.select("*", *[share(ws).alias(f"__{k}") for k, ws in FUNCTION_WORDS.items()], F.when(F.col("__letters") > 0, F.col("__cyr") / F.col("__letters")).otherwise(0.0).alias("__share"))
+    s = s.withColumn("__best", F.greatest("__en", "__de", "__fr"))
+    n, best, cyrillic = F.col("__n"), F.col("__best"), F.col("__share")
+    name = F.when(F.col("__en") == best, "en").when(F.col("__de") == best, "de").otherwise("fr")
+
+    def first(*cases: tuple[Column, str | Column, float | Column]) -> tuple[Column, Column]:
+        lang, sure = name, F.least(F.lit(0.95), 0.35 + best * 4.0)
+        for holds, x, y in reversed(cases):
+            lang, sure = F.when(holds, x).otherwise(lang), F.when(holds, y).otherwise(sure)
+        return lang, sure
+
+    lang, sure = first(
+        (F.col("__none"), "unknown", 0.0), (cyrillic >= 0.35, "ru", F.least(F.lit(0.99), 0.55 + cyrillic * 0.35 + F.col("__ru"))), (n < 3, "unknown", 0.1),
+        ((best <= 0) & (n >= 8), "en", 0.35), (best < 0.02, "unknown", best),
+    )
+    return s.select(*own, lang.alias("language"), F.round(sure, 4).alias("confidence"))
 
 
 def heading(line: Column) -> Column:

@@ -73,7 +73,7 @@ def body_quality(spark, d):
     n = F.size("w")
     grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     g = docs.where(n >= 6).select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c")).groupBy("doc_id").agg((F.max("c") / F.sum("c")).alias("share"))
-    m = docs.select("doc_id", quality.body_measures(F.col("text")).alias("m")).select("doc_id", "m.*").join(g, "doc_id", "left").fillna({"share": 0.0})
+    m = docs.select("doc_id", quality.body_measures(F.col("text"), F.col("w")).alias("m")).select("doc_id", "m.*").join(g, "doc_id", "left").fillna({"share": 0.0})
     return m.select("doc_id", "word_count", F.round("mean_word_len", 4).alias("mean_word_len"), F.round("symbol_ratio", 4).alias("symbol_ratio"), F.round("share", 4).alias("ngram_repetition"), quality.body_status(F.col("word_count"), F.col("mean_word_len"), F.col("symbol_ratio"), F.col("share")).alias("status"))
 
 
@@ -87,7 +87,7 @@ s AS (SELECT doc_id, t, len(w) AS n, {_share('en')}, {_share('de')}, {_share('fr
 SELECT doc_id, CASE WHEN t = '' OR n < 3 THEN 'unknown' WHEN best <= 0 AND n >= 8 THEN 'en' WHEN best < 0.02 THEN 'unknown' WHEN en = best THEN 'en' WHEN de = best THEN 'de' ELSE 'fr' END AS language,
   round(CASE WHEN t = '' THEN 0 WHEN n < 3 THEN 0.1 WHEN best <= 0 AND n >= 8 THEN 0.35 WHEN best < 0.02 THEN best ELSE least(0.95, 0.35 + best * 4) END, 4) AS confidence FROM b""")
 def language_detect(spark, d):
-    return table(spark, d, "documents").select("doc_id", quality.language(F.col("text")).alias("l")).select("doc_id", "l.*")
+    return quality.with_language(table(spark, d, "documents").select("doc_id", "text")).drop("text")
 
 
 @query(r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS t, unnest(range(len(string_split(text, chr(10)))))::INT AS line_index FROM documents)

@@ -41,7 +41,9 @@ def test_cleaning(spark):
 
 
 def test_language_and_quality(spark):
-    got = values(spark, lambda x: quality.language(x)["language"], ["the cat is on the mat", "der Hund und die Katze ist nicht", "le chat et la table dans une", "и в не на что с по это", "", "ab", "qqq www eee rrr ttt yyy uuu iii ooo"])
+    texts = ["the cat is on the mat", "der Hund und die Katze ist nicht", "le chat et la table dans une", "и в не на что с по это", "", "ab", "qqq www eee rrr ttt yyy uuu iii ooo"]
+    df = quality.with_language(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    got = [r["language"] for r in df.orderBy("i").collect()]
     assert got == ["en", "de", "fr", "ru", "unknown", "unknown", "en"]
     h = values(spark, quality.heading, ["## Title here", "2.1 Methods", "1999 " + "word " * 30, "plain"])
     assert [x and (x["level"], x["source"]) for x in h] == [(2, "atx"), (2, "numbered"), None, None]
