@@ -66,11 +66,9 @@ def _laid(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
     """(item, at, width, hash, slots, values, windows): the usable windows of each item."""
     laid = _laid(benchmark, text_col, [F.col(item_col).alias("item")]).where("__n > 0").withColumn("width", F.least(F.lit(window), F.col("__n")))
-    out = None
-    for w in range(1, window + 1):
-        some = laid.where(F.col("width") == w).withColumn("__g", _window_hashes("__h", F.col("__n"), w))
-        one = some.select("item", "width", "__t", "__v", F.posexplode("__g").alias("at", "hash"))
-        out = one if out is None else out.unionByName(one)
+    # hashing a slice gives what hashing its words one by one gives, as _window_hashes does for a fixed width
+    hashed = F.transform(F.sequence(F.lit(0), F.col("__n") - F.col("width")), lambda i: F.xxhash64(F.slice(F.col("__h"), i + 1, F.col("width")), F.col("width")))
+    out = laid.select("item", "width", "__t", "__v", F.posexplode(hashed).alias("at", "hash"))
     slot = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.get(F.col("__t"), F.col("at") + k).startswith("\u0001"))
     out = out.withColumn("slots", slot).withColumn("values", F.transform("slots", lambda k: F.concat_ws(" ", F.get(F.col("__t"), F.col("at") + k), F.get(F.col("__v"), F.col("at") + k))))
     out = out.where(F.size("slots") * 2 <= F.col("width"))
