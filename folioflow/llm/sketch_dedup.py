@@ -285,7 +285,7 @@ def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     """
     judged = near_duplicates(docs, shingle, percent, id_col, text_col).where("n_shingles > 0")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_key").alias("key"))
-    first = judged.groupBy("group").agg(F.min(rank).alias("first"))
+    first = staged(judged.groupBy("group").agg(F.min(rank).alias("first")), "firsts")  # a table, so a large group can be split in the join
     rows = staged(judged.join(first, "group").select("doc_id", "text_key", (rank == F.col("first")).alias("stays")), "representatives")
     left = docs.withColumn("__own_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
