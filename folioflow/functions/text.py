@@ -49,7 +49,7 @@ def strip_tags(s: Column) -> Column:
 
 
 def normal_signs(s: Column) -> Column:
-    """Ligatures and typographic signs spelled out, control characters dropped (NFKC: see `operators.nfkc`)."""
+    """Ligatures and typographic signs spelled out, control characters dropped."""
     t = s
     for a, b in LIGATURES.items():
         t = F.replace(t, F.lit(a), F.lit(b))
