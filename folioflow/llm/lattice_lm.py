@@ -1,9 +1,11 @@
 """LM scoring: the marginal likelihood of a text over all segmentations of its words into vocabulary pieces.
 
 The vocabulary is an existing public one; its own scores are merge ranks and no probabilities, so the unigram
-scores of its pieces are counted on the training words as the vocabulary segments them. A word's probability is
-the sum over all its segmentations (forward recursion in log space over a trie); characters outside the vocabulary
-go through its byte pieces. A text is its words and an end symbol.
+scores of its pieces are counted on the different training words as the vocabulary segments them. Every training word
+is one more piece of the lattice, an arc over the whole word, scored by its discounted count; what the discount
+frees is the weight of all ways through the public pieces. A word's probability is the sum over all its
+segmentations (forward recursion in log space over a trie); characters outside the vocabulary go through its byte
+pieces. A text is its words and an end symbol, counted as a word.
 
 Only counts move. Documents are reduced, a block of bounded size at a time, to the block's different words and each
 document's (word number, count) pairs. Words are summed over all blocks, each different word is scored once,
@@ -146,26 +148,39 @@ def _processor(path: str):
     return _models[path]
 
 
+def word_arc(c: int, total: int, discount: float) -> float | None:
+    """log10 weight of the arc over a whole word counted c times; None for an unseen word."""
+    return math.log10((c - discount) / total) if c > 0 else None
+
+
+def log10_sum(x: float, y: float | None) -> float:
+    return x if y is None else max(x, y) + math.log10(1 + 10.0 ** -abs(x - y))
+
+
 def _piece_counts(path: str):
+    """How often each piece occurs in the words, each word taken once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, total = _processor(path), Counter()
         for batch in batches:
             words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            for ids, c in zip(sp.encode(words, num_threads=1), batch.column(1).to_pylist(), strict=True):
-                for i in ids:
-                    total[i] += c
+            for ids in sp.encode(words, num_threads=1):
+                total.update(ids)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["piece", "n"])
 
     return run
 
 
-def _score_words(path: str, log10: np.ndarray):
+def _score_words(path: str, log10: np.ndarray, total: int, discount: float, free: float):
+    """The score of each word; free is the log10 weight of the ways through the pieces."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(path)
         lattice = Lattice([sp.id_to_piece(i) for i in range(sp.get_piece_size())], log10)
         for batch in batches:
-            scores = [lattice.score(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()]
+            words, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            scores = [log10_sum(free + lattice.score(w.decode("utf-8", "replace")), word_arc(c, total, discount)) for w, c in zip(words, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["word", "c", "lp"])
 
     return run
@@ -182,7 +197,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     asked = spark.read.schema(ddl).parquet(path).where("number IS NOT NULL").select("block", "word", "number", "trained")
     rows = spark.read.schema(ddl).parquet(path).where("counts IS NOT NULL").select("block", "doc_id", "held_out", "n_tokens", "n_words", "counts")
     known = staged(asked.groupBy("word").agg(F.sum("trained").alias("c")), "lm-words")
-    sums = known.agg(F.sum("c").alias("words"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).first()
+    sums = known.agg(F.sum("c").alias("words"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct"), F.count(F.when(F.col("c") == 1, 1)).alias("once"), F.count(F.when(F.col("c") == 2, 1)).alias("twice")).first()
     ends = rows.where("NOT held_out").count()
     total, distinct = (sums["words"] or 0) + ends, sums["distinct"] + (ends > 0)
     size = _processor(vocabulary).get_piece_size()
@@ -190,9 +205,12 @@ def lattice_scores(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     n = np.zeros(size)
     for r in counted:
         n[r["piece"]] = r["n"]
-    mass = n.sum() + ends + SMOOTHING * (size + 1)
-    end_lp = math.log10((ends + SMOOTHING) / mass)
-    scored = known.mapInArrow(_score_words(vocabulary, np.log10((n + SMOOTHING) / mass)), "word binary, c long, lp double")
+    pieces = np.log10((n + SMOOTHING) / (n.sum() + SMOOTHING * size))
+    discount = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] else 0.5
+    discount = min(max(discount, 0.1), 0.9)
+    # a model of no text knows no word and no end: the ways through the pieces have all but half of the weight
+    free, end_lp = (math.log10(discount * distinct / total), word_arc(ends, total, discount)) if total else (math.log10(0.5), math.log10(0.5))
+    scored = known.mapInArrow(_score_words(vocabulary, pieces, max(total, 1), discount, free), "word binary, c long, lp double")
     answers = asked.select("block", "word", "number").join(scored, "word").select("block", "number", "c", "lp")
     denominator = total + distinct + 1
 

@@ -198,7 +198,17 @@ def test_lattice_scores(spark, docs):
     base = lambda x: math.log10((x + 1) / (n + v + 1))
     want = Counter((r[0], len(ws(r[1])) + 1, sum(w in c for w in ws(r[1])) + 1, n, round(sum(base(c[w]) for w in ws(r[1])) + base(len(train)), 6)) for r in rows)
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    # the score: every training word an arc over the whole word, beside all ways through the public pieces
+    sp = lattice_lm._processor(public_tokenizers.path("piece_bpe_32k.model"))
+    seen = np.zeros(sp.get_piece_size())
+    for w in c:
+        np.add.at(seen, sp.encode(w.decode("utf-8", "replace")), 1)
+    lattice = lattice_lm.Lattice([sp.id_to_piece(i) for i in range(len(seen))], np.log10((seen + 0.1) / (seen.sum() + 0.1 * len(seen))))
+    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+    less = min(max(ones / (ones + 2 * twos), 0.1), 0.9)
+    p = lambda w: math.log10(max(c[w] - less, 0) / n + less * v / n * 10 ** lattice.score(w.decode("utf-8", "replace")))
+    scores = Counter((r[0], round(sum(map(p, ws(r[1]))) + math.log10((len(train) - less) / n), 6)) for r in rows)
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == scores
     assert lattice_lm.lattice_scores(empty(spark), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
