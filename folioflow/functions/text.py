@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Ligatures and typographic signs, and what they become.
 LIGATURES = {
@@ -56,6 +61,31 @@ def normal_signs(s: Column) -> Column:
     return F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
+def _compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def normal_unicode(s: Column) -> Column:
+    """NFKC, then `normal_signs`; null becomes empty. Spark has no function for NFKC, so
+    texts go through Python in Arrow batches."""
+    t = F.coalesce(s, F.lit(""))
+    nfkc = F.pandas_udf(_compatible, StringType())
+    return normal_signs(nfkc(t))
+
+
+def json_keys(s: Column) -> Column:
+    """All different keys of a JSON text, at any depth, sorted: the string tokens that a colon follows. Null: none."""
+    tokens = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(r'("(?:[^"\\]|\\.)*+"\s*:?)'), 1)
+    keys = F.filter(tokens, lambda x: F.endswith(x, F.lit(":")))
+    return F.array_sort(F.array_distinct(F.transform(keys, lambda x: F.regexp_extract(x, r'(?s)^"(.*)"\s*:$', 1))))
+
+
+def forbidden_keys(s: Column, keys: list[str]) -> Column:
+    """Those of keys that a JSON text has at any depth."""
+    return F.array_intersect(json_keys(s), F.array(*map(F.lit, keys)).cast("array<string>"))
+
+
 def collapse_space(s: Column) -> Column:
     """Runs of blanks to one, three or more line ends to two, no blanks at line ends, none around the text."""
     t = F.regexp_replace(F.regexp_replace(s, r"[ \t\f\x0b]+", " "), r"\n{3,}", "\n\n")

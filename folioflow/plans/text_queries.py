@@ -200,3 +200,8 @@ def semantic_blocks(spark, d):
     b = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("ord", "block"))
     kind = classify.block_type(F.col("block"))
     return b.select("doc_id", "ord", kind.alias("kind"), classify.chunk_route(kind, F.lit("body")).alias("r")).select("doc_id", "ord", "kind", "r.route", "r.state")
+
+
+@query()
+def normalise_unicode(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normal_unicode(F.col("text")).alias("text"))

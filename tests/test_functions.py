@@ -77,3 +77,9 @@ def test_scores(spark):
     assert (r["w"]["low"], r["w"]["high"], r["b"], r["g"], r["p"]) == (0.0, 0.0, 1.0, "repair", 1.3)
     v = one(spark, c=vectors.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))), z=vectors.is_zero(F.array(F.lit(1e-13))), l=vectors.l2(F.array(F.lit(3.0)), F.array(F.lit(-1.0))))
     assert v == {"c": 0.0, "z": True, "l": 4.0}
+
+
+def test_unicode_and_json_keys(spark):
+    rows = [("ﬁne “x” ²\x01", '{"a": {"raw_text": [{"b\\"c": "say \\"k\\": no"}]}, "d" : "e", ":f": 1}'), (None, None), ("", "[1]")]
+    got = spark.createDataFrame(rows, "s string, j string").select(text.normal_unicode(F.col("s")), text.json_keys(F.col("j")), text.forbidden_keys(F.col("j"), ["raw_text", "k", "zz"])).collect()
+    assert [tuple(r) for r in got] == [('fine "x" 2', [":f", "a", 'b\\"c', "d", "raw_text"], ["raw_text"]), ("", [], []), ("", [], [])]
