@@ -173,3 +173,35 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     ingest.upsert_stream(s, str(tmp_path / "out"), "vid", str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 20 and got.select("vid").distinct().count() == 20
+
+
+def test_audits_of_nulls_ties_and_empty_tables(spark):
+    from folioflow.operators import audit as A
+
+    old = spark.createDataFrame([(1, "a", None), (2, None, 1), (3, "c", 2)], "id int, s string, n int")
+    new = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "c", 2)], "id int, s string, n int")
+    assert [tuple(r) for r in A.silent_changes(old, new, "id", ["s", "n"]).collect()] == [(2, ["s", "n"])]
+    bodies = spark.createDataFrame([("p", "x", "t", 2), ("p", "y", "t", 1), ("q", "y", "t", 1), ("q", "z", None, 1), ("r", None, "t", 5)], "k string, root string, text string, at int")
+    assert {tuple(r) for r in A.body_copies(bodies, "k", "root", "text").collect()} == {("p", 2, "identical"), ("q", 2, "divergent")}
+    assert {tuple(r) for r in A.first_body(bodies, "k", "root", ["x", "z"], "at").collect()} == {("p", "x", 2), ("q", "z", 1), ("r", None, 5)}
+    counts = spark.createDataFrame([(0, 0), (9, 9), (20, 11), (20, 8), (20, 7)], "n int, k int")
+    assert [r[0] for r in counts.select(A.sample_signal(F.col("n"), F.col("k"))).collect()] == ["blocked", "partial", "pass", "partial", "blocked"]
+    gold = spark.createDataFrame([(1, "Big  Cat"), (1, " "), (2, "dog"), (3, None)], "id int, label string")
+    texts = spark.createDataFrame([(1, "a BIG\ncat sat"), (2, None)], "id int, text string")
+    assert {tuple(r) for r in A.grounding(gold, texts, "id", "label", "text").collect()} == {(1, "Big  Cat", True), (2, "dog", False)}
+    case = spark.createDataFrame([("c", "x", "USES"), ("c", "y", "USES"), ("d", "x", "USES")], "k string, i string, t string")
+    other = spark.createDataFrame([("c", "x", "USES"), ("c", "z", "IMPROVES"), ("e", "x", "USES")], "k string, i string, t string")
+    assert [tuple(r) for r in A.second_judge(case, other, "k", "i", "t", ["IMPROVES"]).collect()] == [("c", 1, 1, True)]
+    assert tuple(A.parity(old.limit(0), new.limit(0).withColumn("status", F.lit("done")), "id", "status").first()) == (0, 0, 0, "match")
+    rows = A.slots(spark.range(50), "id", ["plain", "two_column"], 61).orderBy("slot_id").collect()
+    assert [r.stratum for r in rows].count("plain") == 31 and sum(r.held_out for r in rows) == 12
+    assert [r.id for r in rows if r.held_out] == list(range(38, 50)) and rows[-1].id is None and not rows[-1].held_out
+
+
+def test_failure_codes_of_an_extraction(spark):
+    from folioflow.operators import audit as A
+
+    rows = [("failed", 0, 0, 0, "transport_error"), ("failed", 0, 0, 0, None), ("empty", 0, 0, 0, None), ("done", 0, 0, 0, "schema_bad"), ("done", 0, 0, 0, None), ("done", 2, 0, 0, None), ("done", 2, 1, 1, None)]
+    df = spark.createDataFrame(rows, "s string, e int, r int, l int, c string")
+    got = [x[0] for x in df.select(A.failure_code(*(F.col(c) for c in "serlc"))).collect()]
+    assert got == ["TRANSPORT_FAILURE", "UNKNOWN", "PARTIAL_PAPER", "MALFORMED_OUTPUT", "EMPTY_CANDIDATES", "MISSING_EVIDENCE", None]
