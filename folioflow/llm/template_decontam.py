@@ -1,10 +1,11 @@
 """Benchmark decontamination by template: texts that hold a benchmark item, perhaps with other numbers or names.
 
 DataFrame functions only. Texts are canonicalised: numbers, units after numbers and capitalised words inside
-sentences become typed placeholders, the rest is lowered, punctuation goes. Windows of WINDOW template words of the items are
-hash-joined with those of all documents. Hits of an item on one alignment (document position less item position) are
-counted together; slot values of both sides must map one to one. A document is contaminated if the hits of one alignment
-make up `coverage` of an item's windows. The item windows are broadcast up to BROADCAST_ROWS rows, else joined by shuffle.
+sentences become typed placeholders (names side by side become one), the rest is lowered, punctuation goes. Windows of WINDOW
+template words of the items are hash-joined with those of all documents. Hits of an item on one alignment (document position
+less item position) are counted together, and so are those of a chain of alignments with steps of SLACK words at most, which
+inserted and deleted words cause; slot values of both sides must map one to one within an alignment or chain. A document is
+contaminated if the hits of one alignment or chain make up `coverage` of an item's windows, each window counted once. The item windows are broadcast up to BROADCAST_ROWS rows, else joined by shuffle.
 
 Defined results: null, empty and blank texts hold nothing; items of fewer words than a window are one window;
 windows with fewer literal words than half of theirs say too little and aren't used, so an item made of
@@ -14,28 +15,33 @@ id_col alone are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, SPACES, staged
 
 WINDOW = 8
 COVERAGE = 0.5
+#: The most words by which neighbouring alignments of a chain differ.
+SLACK = 8
 BROADCAST_ROWS = 500_000
 #: Units that follow a number.
 UNITS = "km m cm mm mi miles mile ft feet in inches kg g mg lb lbs pounds oz l ml liters litres s sec seconds min minutes h hours hour days day weeks week months month years year usd eur dollars dollar euros euro cents percent pct mph kmh degrees"
+LINE = ["doc_id", "text_key", "item", "line"]
 NAME, NUMBER, UNIT = "\u0001n", "\u0001d", "\u0001u"
 
 
 def _plain(text: Column) -> Column:
     """The text with marked names (\\u0001 before them), lowered, without punctuation; its words keep their values."""
     t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, "\u0001", " ")
+    t = F.regexp_replace(t, "[\u0001-\u0003]", " ")
     # a capitalised word right after a word that ends no sentence is a name
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;][\x20\x09-\x0D])(?=\p{Lu}\p{Ll})", "\u0001")
+    # names with nothing but space between them are one word
+    t = F.regexp_replace(t, "(\u0001[^\\x20\\x09-\\x0D,;\u0001]*)[\\x20\\x09-\\x0D]+(?=\u0001)", "$1\u0003")
     digits = F.regexp_replace(F.regexp_replace(t, r"(?<=\p{N})[.,:](?=\p{N})", "\u0002"), r"(?<=\p{N})(?=\p{L})|(?<=\p{N})(?=%)", " ")
     t = F.when(t.rlike(r"\p{N}"), digits).otherwise(t)
-    t = F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}\\x20\\x09-\\x0D\u0001\u0002%]+", "")
+    t = F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}\\x20\\x09-\\x0D\u0001-\u0003%]+", "")
     return F.lower(t)
 
 
@@ -90,20 +96,39 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         one = some.join(side, "hash").where(F.col("width") == w)
         hits = one if hits is None else hits.unionByName(one)
     hits = staged(hits.select("doc_id", "text_key", "pos", "item", "at", "slots", "values").distinct(), "bench-hits")
-    hits = hits.withColumn("shift", F.col("pos") - F.col("at"))
+    hits = _lines(hits)
     open_ = hits.where(F.size("slots") > 0)
     wrong = _inconsistent(docs, open_, id_col, text_col) if not open_.isEmpty() else None
     if wrong is not None:
-        same = [F.col(f"h.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc_id", "text_key", "item", "shift", "at")]
-        hits = hits.alias("h").join(wrong.alias("w"), same[0] & same[1] & same[2] & same[3] & same[4], "left_anti")
-    runs = hits.groupBy("doc_id", "text_key", "item", "shift").agg(F.count_distinct("at").alias("windows"))
+        hits = hits.alias("h").join(wrong.alias("w"), _same("h", "w", [*LINE, "at", "pos"]), "left_anti")
+    runs = hits.groupBy(*LINE).agg(F.count_distinct("at").alias("windows"))
     best = runs.groupBy("doc_id", "text_key", "item").agg(F.max("windows").alias("windows"))
     found = best.join(of.select(F.col("item").alias("__item"), "of"), F.col("item").eqNullSafe(F.col("__item"))).where(F.col("windows") >= F.col("of") * coverage)
     return found.select("doc_id", "text_key", F.col("item").alias("item_id"), "windows", "of")
 
 
+def _same(a: str, b: str, cols: list[str]) -> Column:
+    out = F.lit(True)
+    for c in cols:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def _lines(hits: DataFrame) -> DataFrame:
+    """hits with `line`: each once for its alignment, and once more for its chain where that has several alignments."""
+    at = Window.partitionBy("doc_id", "text_key", "item")
+    hits = hits.withColumn("shift", F.col("pos") - F.col("at"))
+    hits = hits.withColumn("step", F.when(F.col("shift") - F.lag("shift").over(at.orderBy("shift")) > SLACK, 1).otherwise(0))
+    hits = hits.withColumn("chain", F.sum("step").over(at.orderBy("shift").rangeBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy("doc_id", "text_key", "item", "chain")
+    several = F.max("shift").over(chain) > F.min("shift").over(chain)
+    alone, chained = F.concat(F.lit("a"), F.col("shift").cast("string")), F.concat(F.lit("c"), F.col("chain").cast("string"))
+    lines = F.when(several, F.array(alone, chained)).otherwise(F.array(alone))
+    return hits.withColumn("lines", lines).withColumn("line", F.explode("lines")).drop("shift", "step", "chain", "lines")
+
+
 def _inconsistent(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Windows (doc_id, text_key, item, shift, at) with a slot whose value maps otherwise than most of the alignment's."""
+    """Hits (doc_id, text_key, item, line, at, pos) with a slot whose value maps otherwise than most of the line's."""
     wanted = hits.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
@@ -112,21 +137,13 @@ def _inconsistent(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str)
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"),
         F.posexplode(F.transform(F.arrays_zip("__t", "__v"), lambda x: F.when(x["__t"].startswith("\u0001"), F.concat_ws(" ", x["__t"], x["__v"])))).alias("__at", "__value"),
     ).where("__value IS NOT NULL")
-    slots = hits.select("doc_id", "text_key", "item", "shift", "at", "pos", F.explode(F.arrays_zip("slots", "values")).alias("s")).select("*", (F.col("pos") + F.col("s.slots")).alias("where"), F.col("s.values").alias("value")).drop("s")
+    slots = hits.select(*LINE, "at", "pos", F.explode(F.arrays_zip("slots", "values")).alias("s")).select("*", (F.col("pos") + F.col("s.slots")).alias("where"), F.col("s.values").alias("value")).drop("s")
     pairs = staged(slots.join(laid, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")) & (F.col("where") == F.col("__at"))).drop("__id", "__key", "__at"), "bench-slots")
-    line = ["doc_id", "text_key", "item", "shift"]
-    votes = pairs.groupBy(*line, "value", "__value").agg(F.count_distinct("where").alias("n"))
-    to = votes.groupBy(*line, "value").agg(F.max(F.struct("n", "__value"))["__value"].alias("to"))
-    back = votes.groupBy(*line, "__value").agg(F.max(F.struct("n", "value"))["value"].alias("back"))
-
-    def on(a: str, b: str, cols: list[str]) -> Column:
-        out = F.lit(True)
-        for c in cols:
-            out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-        return out
-
-    j = pairs.alias("p").join(to.alias("t"), on("p", "t", [*line, "value"])).join(back.alias("b"), on("p", "b", [*line, "__value"]))
-    return j.where("p.__value <> t.to OR p.value <> b.back").select(*[f"p.{c}" for c in [*line, "at"]]).distinct()
+    votes = pairs.groupBy(*LINE, "value", "__value").agg(F.count_distinct("where").alias("n"))
+    to = votes.groupBy(*LINE, "value").agg(F.max(F.struct("n", "__value"))["__value"].alias("to"))
+    back = votes.groupBy(*LINE, "__value").agg(F.max(F.struct("n", "value"))["value"].alias("back"))
+    j = pairs.alias("p").join(to.alias("t"), _same("p", "t", [*LINE, "value"])).join(back.alias("b"), _same("p", "b", [*LINE, "__value"]))
+    return j.where("p.__value <> t.to OR p.value <> b.back").select(*[f"p.{c}" for c in [*LINE, "at", "pos"]]).distinct()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

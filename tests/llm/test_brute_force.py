@@ -362,6 +362,24 @@ def test_decontamination(spark):
     assert template_decontam.find(d, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_shifted_copies(spark):
+    item = "the old train leaves the station at 9 and travels 120 km to the coast where young Anna waits near the big harbour for her friends"
+    words = item.split()
+    inserted, deleted = " ".join([*words[:13], "really", *words[13:]]), " ".join([*words[:13], *words[14:]])
+    twice = " ".join([*words[:9], "very", *words[9:18], "very", *words[18:]])
+    named, renamed = item.replace("Anna", "Anna Maria Lopez"), item.replace("Anna", "Berta")
+    half = " ".join(words[:13]) + " nothing " * 40 + " ".join(words[13:16])
+    swapped = item.replace("120", "9") + " " + item
+    d = spark.createDataFrame([(i, f"so: {t} it went", "en", "s", 1) for i, t in enumerate([item, inserted, deleted, named, renamed, half, swapped, twice])], SCHEMA)
+    bench = lambda t: spark.createDataFrame([(1, t)], "item_id long, text string")
+    assert {r["doc_id"] for r in template_decontam.find(d, bench(item)).collect()} >= {0, 1, 2, 3, 4, 6}
+    assert 5 not in {r["doc_id"] for r in template_decontam.find(d, bench(item)).collect()}
+    assert {0, 3, 4} <= {r["doc_id"] for r in template_decontam.find(d, bench(named)).collect()}
+    # a list keeps its names apart
+    lists = spark.createDataFrame([(0, "we saw Anna, Berta and Clara walk", "en", "s", 1)], SCHEMA)
+    assert template_decontam._laid(lists, "text", []).first()["__n"] == 7
+
+
 # pipeline
 
 
