@@ -8,8 +8,9 @@ inserted and deleted words cause; slot values of both sides must map one to one
 contaminated if the hits of one alignment or chain make up `coverage` of an item's windows, each window counted once. The item windows are broadcast up to BROADCAST_ROWS rows, else joined by shuffle.
 
 Defined results: null, empty and blank texts hold nothing; items of fewer words than a window are one window;
-windows with fewer literal words than half of theirs say too little and aren't used, so an item made of
-placeholders alone can't be found; repeated rows give repeated results; empty tables give no matches; text_col and
+an item that begins with a capitalised word is also looked for with it as a name, as it is after a letter, comma or line break;
+windows with fewer literal words than half of theirs say too little and aren't used, so an item without any other, or of
+one window, is also looked for by its plain words, and values other than its own aren't found if it has no usable window; repeated rows give repeated results; empty tables give no matches; text_col and
 id_col alone are read.
 """
 
@@ -27,7 +28,9 @@ SLACK = 8
 BROADCAST_ROWS = 500_000
 #: Units that follow a number.
 UNITS = "km m cm mm mi miles mile ft feet in inches kg g mg lb lbs pounds oz l ml liters litres s sec seconds min minutes h hours hour days day weeks week months month years year usd eur dollars dollar euros euro cents percent pct mph kmh degrees"
-LINE = ["doc_id", "text_key", "item", "line"]
+#: Forms of an item: its template, that with its first word as a name, and its plain words.
+TEMPLATE, NAMED, EXACT = 0, 1, 2
+LINE = ["doc_id", "text_key", "item", "form", "line"]
 NAME, NUMBER, UNIT = "\u0001n", "\u0001d", "\u0001u"
 
 
@@ -69,42 +72,78 @@ def _laid(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     return laid.withColumn("__h", F.transform("__t", lambda w: F.xxhash64(w))).withColumn("__n", F.size("__t"))
 
 
+def _exact_words(values: Column) -> Column:
+    """The lowered words of a text without placeholders, from the values of its template words."""
+    return F.filter(F.split(F.translate(F.array_join(values, " "), "\u0003\u0001", " "), " "), lambda w: w != "")
+
+
+def _item_forms(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """Items laid out as they are and, if they begin with a capitalised word, with it as a name, as it is inside a sentence."""
+    bare = F.trim(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE))
+    rows = benchmark.select(F.col(item_col).alias("item"), bare.alias("text"))
+    inside = rows.where(F.col("text").rlike(r"^\p{Lu}\p{Ll}")).withColumn("text", F.concat(F.lit("x "), "text"))
+    own = _laid(rows, "text", [F.col("item"), F.lit(TEMPLATE).alias("form")])
+    named = _laid(inside, "text", [F.col("item"), F.lit(NAMED).alias("form")])
+    for c in ("__t", "__v", "__h"):
+        named = named.withColumn(c, F.slice(c, 2, F.col("__n")))
+    return own.unionByName(named.withColumn("__n", F.col("__n") - 1)).where("__n > 0")
+
+
 def benchmark_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """(item, at, width, hash, slots, values, windows): the usable windows of each item."""
-    laid = _laid(benchmark, text_col, [F.col(item_col).alias("item")]).where("__n > 0").withColumn("width", F.least(F.lit(window), F.col("__n")))
-    # hashing a slice gives what hashing its words one by one gives, as _window_hashes does for a fixed width
-    hashed = F.transform(F.sequence(F.lit(0), F.col("__n") - F.col("width")), lambda i: F.xxhash64(F.slice(F.col("__h"), i + 1, F.col("width")), F.col("width")))
-    out = laid.select("item", "width", "__t", "__v", F.posexplode(hashed).alias("at", "hash"))
-    slot = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.get(F.col("__t"), F.col("at") + k).startswith("\u0001"))
-    out = out.withColumn("slots", slot).withColumn("values", F.transform("slots", lambda k: F.concat_ws(" ", F.get(F.col("__t"), F.col("at") + k), F.get(F.col("__v"), F.col("at") + k))))
-    out = out.where(F.size("slots") * 2 <= F.col("width"))
-    return out.select("item", "at", "width", "hash", "slots", "values").distinct()
+    """(item, form, at, width, hash, slots, values): the usable windows of each form of the items."""
+    laid = _item_forms(benchmark, item_col, text_col).withColumn("width", F.least(F.lit(window), F.col("__n")))
+
+    def placeholders(at: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.get(F.col("__t"), at + k).startswith("\u0001"))
+
+    def starts() -> Column:
+        return F.sequence(F.lit(0), F.col("__n") - F.col("width"))
+
+    def hashed(at: Column) -> Column:
+        # hashing a slice gives what hashing its words one by one gives, as _window_hashes does for a fixed width
+        return F.xxhash64(F.slice(F.col("__h"), at + 1, F.col("width")), F.col("width"))
+
+    laid = staged(laid.withColumn("__use", F.filter(starts(), lambda at: F.size(placeholders(at)) * 2 <= F.col("width"))), "bench-forms")
+    out = laid.select("item", "form", "width", "__t", "__v", "__h", F.explode("__use").alias("at"))
+    out = out.withColumn("slots", placeholders(F.col("at"))).withColumn("hash", hashed(F.col("at")))
+    out = out.withColumn("values", F.transform("slots", lambda k: F.concat_ws(" ", F.get(F.col("__t"), F.col("at") + k), F.get(F.col("__v"), F.col("at") + k))))
+    cols = ["item", "form", "at", "width", "hash", "slots", "values"]
+    # what has no usable window, or is one window that its surroundings may change, is looked for word by word too
+    bare = laid.where((F.size("__use") == 0) | (F.col("__n") <= window)).select("item", F.lit(EXACT).alias("form"), _exact_words(F.col("__v")).alias("__t")).distinct()
+    bare = bare.withColumn("__h", F.transform("__t", lambda w: F.xxhash64(w))).withColumn("__n", F.size("__t")).withColumn("width", F.least(F.lit(window), F.col("__n")))
+    bare = bare.select("item", "form", "width", "__h", F.explode(starts()).alias("at")).withColumn("hash", hashed(F.col("at")))
+    bare = bare.withColumn("slots", F.array().cast("array<int>")).withColumn("values", F.array().cast("array<string>"))
+    return out.select(*cols).unionByName(bare.select(*cols)).distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, windows, of): the items that a text holds to the coverage or more; text_key is its md5."""
     items = staged(benchmark_windows(benchmark, window, item_col, item_text_col), "bench-windows")
     n_items = items.count()
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most window
-    of = items.groupBy("item").agg(F.count_distinct("at").alias("of"))
+    exact = F.col("form") == EXACT
+    kinds = sorted((r[0], r[1]) for r in items.select("width", exact).distinct().collect())  # at most two of each width up to window
+    of = items.groupBy("item", "form").agg(F.count_distinct("at").alias("of"))
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     laid = _laid(docs, text_col, [F.col(id_col).alias("doc_id"), key.alias("text_key")])
     hits = None
     side = F.broadcast(items) if n_items <= BROADCAST_ROWS else items
-    for w in widths or [window]:
-        some = laid.select("doc_id", "text_key", F.posexplode(_window_hashes("__h", F.col("__n"), w)).alias("pos", "hash"))
-        one = some.join(side, "hash").where(F.col("width") == w)
+    bare = laid.withColumn("__h", F.transform(_exact_words(F.col("__v")), lambda w: F.xxhash64(w))).withColumn("__n", F.size("__h"))
+    for w, whole in kinds or [(window, False)]:
+        some = (bare if whole else laid).select("doc_id", "text_key", F.posexplode(_window_hashes("__h", F.col("__n"), w)).alias("pos", "hash"))
+        one = some.join(side, "hash").where((F.col("width") == w) & (exact if whole else ~exact))
         hits = one if hits is None else hits.unionByName(one)
-    hits = staged(hits.select("doc_id", "text_key", "pos", "item", "at", "slots", "values").distinct(), "bench-hits")
+    hits = staged(hits.select("doc_id", "text_key", "pos", "item", "form", "at", "slots", "values").distinct(), "bench-hits")
     hits = _lines(hits)
     open_ = hits.where(F.size("slots") > 0)
     wrong = _inconsistent(docs, open_, id_col, text_col) if not open_.isEmpty() else None
     if wrong is not None:
         hits = hits.alias("h").join(wrong.alias("w"), _same("h", "w", [*LINE, "at", "pos"]), "left_anti")
     runs = hits.groupBy(*LINE).agg(F.count_distinct("at").alias("windows"))
-    best = runs.groupBy("doc_id", "text_key", "item").agg(F.max("windows").alias("windows"))
-    found = best.join(of.select(F.col("item").alias("__item"), "of"), F.col("item").eqNullSafe(F.col("__item"))).where(F.col("windows") >= F.col("of") * coverage)
-    return found.select("doc_id", "text_key", F.col("item").alias("item_id"), "windows", "of")
+    best = runs.groupBy("doc_id", "text_key", "item", "form").agg(F.max("windows").alias("windows"))
+    of = of.select(F.col("item").alias("__item"), F.col("form").alias("__form"), "of")
+    found = best.join(of, F.col("item").eqNullSafe(F.col("__item")) & (F.col("form") == F.col("__form"))).where(F.col("windows") >= F.col("of") * coverage)
+    most = found.groupBy("doc_id", "text_key", "item").agg(F.max(F.struct((F.col("windows") / F.col("of")).alias("x"), "windows", "of")).alias("b"))
+    return most.select("doc_id", "text_key", F.col("item").alias("item_id"), "b.windows", "b.of")
 
 
 def _same(a: str, b: str, cols: list[str]) -> Column:
@@ -116,11 +155,11 @@ def _same(a: str, b: str, cols: list[str]) -> Column:
 
 def _lines(hits: DataFrame) -> DataFrame:
     """hits with `line`: each once for its alignment, and once more for its chain where that has several alignments."""
-    at = Window.partitionBy("doc_id", "text_key", "item")
+    at = Window.partitionBy("doc_id", "text_key", "item", "form")
     hits = hits.withColumn("shift", F.col("pos") - F.col("at"))
     hits = hits.withColumn("step", F.when(F.col("shift") - F.lag("shift").over(at.orderBy("shift")) > SLACK, 1).otherwise(0))
     hits = hits.withColumn("chain", F.sum("step").over(at.orderBy("shift").rangeBetween(Window.unboundedPreceding, 0)))
-    chain = Window.partitionBy("doc_id", "text_key", "item", "chain")
+    chain = Window.partitionBy("doc_id", "text_key", "item", "form", "chain")
     several = F.max("shift").over(chain) > F.min("shift").over(chain)
     alone, chained = F.concat(F.lit("a"), F.col("shift").cast("string")), F.concat(F.lit("c"), F.col("chain").cast("string"))
     lines = F.when(several, F.array(alone, chained)).otherwise(F.array(alone))
@@ -128,7 +167,7 @@ def _lines(hits: DataFrame) -> DataFrame:
 
 
 def _inconsistent(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Hits (doc_id, text_key, item, line, at, pos) with a slot whose value maps otherwise than most of the line's."""
+    """Hits (doc_id, text_key, item, form, line, at, pos) with a slot whose value maps otherwise than most of the line's."""
     wanted = hits.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))

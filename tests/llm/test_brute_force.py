@@ -380,6 +380,18 @@ def test_decontamination_of_shifted_copies(spark):
     assert template_decontam._laid(lists, "text", []).first()["__n"] == 7
 
 
+def test_decontamination_of_short_items_and_values(spark):
+    items = ["12 + 34 = 46 and 5 x 7 = 35", "Alice Bob Carol Dave Erin Frank meet Grace Heidi Ivan", "What is the capital of France", "1 2 3 4", "Alice Bob Carol"]
+    around = ["{}", "Weekly quiz\n{}", "he asked, {}", "Weekly Quiz {} Today", "see ({}).", "so {}, they said"]
+    rows = [(10 * i + k, a.format(t), "en", "s", 1) for i, t in enumerate(items) for k, a in enumerate(around)]
+    others = ["12 + 34 = 46 and 5 x 8 = 35", "1 2 3 5", "alice carol bob", "a plain text of nothing", None, ""]
+    d = spark.createDataFrame([*rows, *[(100 + i, t, "en", "s", 1) for i, t in enumerate(others)]], SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in template_decontam.find(d, bench).collect()}
+    assert {(10 * i + k, i) for i in range(len(items)) for k in range(len(around))} <= found
+    assert not {x for x, _ in found} & set(range(100, 106))
+
+
 # pipeline
 
 
