@@ -189,11 +189,21 @@ def weak_components(spark, d):
     return G.components(_small_links(spark, d))
 
 
+@query()
+def weak_components_whole(spark, d):
+    return G.components(edges(spark, d))
+
+
+@query()
+def pagerank_whole(spark, d):
+    return G.pagerank(edges(spark, d))
+
+
 @query()
 def strong_components(spark, d):
     """Nations that supply each other, in both directions; the least key names a component."""
     line, o, c, s = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    j = line.where("l_quantity = 50").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    j = line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return G.strong_components(j.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")))
 
 

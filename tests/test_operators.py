@@ -205,3 +205,39 @@ def test_failure_codes_of_an_extraction(spark):
     df = spark.createDataFrame(rows, "s string, e int, r int, l int, c string")
     got = [x[0] for x in df.select(A.failure_code(*(F.col(c) for c in "serlc"))).collect()]
     assert got == ["TRANSPORT_FAILURE", "UNKNOWN", "PARTIAL_PAPER", "MALFORMED_OUTPUT", "EMPTY_CANDIDATES", "MISSING_EVIDENCE", None]
+
+
+def test_whole_graph_queries(spark):
+    from folioflow.plans.base import QUERIES, edges
+
+    d = "/root/testdata/sf0.001"
+    e = [(r["src"], r["dst"], r["weight"]) for r in edges(spark, d).collect()]
+    top = {n: n for a, b, _ in e for n in (a, b)}
+
+    def find(n):
+        while top[n] != n:
+            top[n] = top[top[n]]
+            n = top[n]
+        return n
+
+    for a, b, _ in e:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    got = QUERIES["weak_components_whole"](spark, d).collect()
+    assert len(got) == len(top) and {r["node_id"]: r["component"] for r in got} == {n: find(n) for n in top}
+
+    out = {}
+    for a, b, w in e:
+        out.setdefault(a, {}).setdefault(b, 0.0)
+        out[a][b] += float(w) if w > 0 else 1.0
+    rank = dict.fromkeys(top, 1 / len(top))
+    for _ in range(20):
+        stuck = sum(r for n, r in rank.items() if n not in out)
+        new = dict.fromkeys(top, (0.15 + 0.85 * stuck) / len(top))
+        for a, to in out.items():
+            total = sum(to.values())
+            for b, w in to.items():
+                new[b] += 0.85 * rank[a] * w / total
+        rank = new
+    got = {r["node_id"]: r["rank"] for r in QUERIES["pagerank_whole"](spark, d).collect()}
+    assert set(got) == set(rank) and all(abs(got[n] - rank[n]) < 1e-9 for n in rank)
