@@ -11,6 +11,10 @@ WITH = f"WITH {GRAPH_SQL}"
 REC = f"WITH RECURSIVE {GRAPH_SQL}"
 
 
+def _seeds(spark, d):
+    return nodes(spark, d).where((F.col("label") == "Customer") & ((F.col("node_id") - STRIDE) % 50 == 0)).select("node_id")
+
+
 @query(f"{WITH} SELECT node_id, vid, retrieval_eligible FROM nodes WHERE label = 'Customer' AND vid = 'Customer:7'")
 def find_by_vid(spark, d):
     return nodes(spark, d).where("label = 'Customer' AND vid = 'Customer:7'").select("node_id", "vid", "retrieval_eligible")
@@ -98,6 +102,12 @@ def k_hop_neighbourhood(spark, d):
     return G.reach(edges(spark, d), seeds, 3)
 
 
+@query()
+def k_hop_neighbourhood_whole(spark, d):
+    """From every customer whose key can be divided by 50."""
+    return G.reach(edges(spark, d), _seeds(spark, d), 3)
+
+
 @query(f"""{WITH}, r AS (
   SELECT DISTINCT e2.dst FROM edges e1 JOIN edges e2 ON e2.src = e1.dst WHERE e1.src = {STRIDE + 10} UNION SELECT dst FROM edges WHERE src = {STRIDE + 10}
 ) SELECT vid FROM r JOIN nodes ON node_id = dst WHERE retrieval_eligible ORDER BY vid LIMIT 100""")
@@ -118,6 +128,12 @@ def two_hop_preview(spark, d):
     return G.two_hop_preview(edges(spark, d), anchors)
 
 
+@query()
+def two_hop_preview_whole(spark, d):
+    """For every customer whose key can be divided by 50."""
+    return G.two_hop_preview(edges(spark, d), _seeds(spark, d))
+
+
 @query(f"""{WITH} SELECT node_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(o + i)::BIGINT AS degree FROM (
   SELECT src AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node_id ORDER BY degree DESC, node_id LIMIT 10""")
 def degree_top10(spark, d):

@@ -241,3 +241,23 @@ def test_whole_graph_queries(spark):
         rank = new
     got = {r["node_id"]: r["rank"] for r in QUERIES["pagerank_whole"](spark, d).collect()}
     assert set(got) == set(rank) and all(abs(got[n] - rank[n]) < 1e-9 for n in rank)
+
+
+def test_whole_seed_queries(spark):
+    from folioflow.plans.base import QUERIES, STRIDE, edges
+
+    d = "/root/testdata/sf0.001"
+    to = {}
+    for r in edges(spark, d).collect():
+        to.setdefault(r["src"], set()).add(r["dst"])
+    keys = [r[0] for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect()]
+    want, first = set(), {}
+    for s in (STRIDE + k for k in keys if k % 50 == 0):
+        seen, now = {s: 0}, {s}
+        for depth in range(1, 4):
+            now = {b for a in now for b in to.get(a, ())} - set(seen)
+            seen |= dict.fromkeys(now, depth)
+        want |= {(s, n, k) for n, k in seen.items()}
+        first[s] = sum(k == 1 for k in seen.values()), sum(k == 2 for k in seen.values())
+    assert first and {(r["seed"], r["node_id"], r["depth"]) for r in QUERIES["k_hop_neighbourhood_whole"](spark, d).collect()} == want
+    assert {r["anchor"]: (r["first_hop"], r["second_hop"]) for r in QUERIES["two_hop_preview_whole"](spark, d).collect()} == first
