@@ -261,3 +261,15 @@ def test_whole_seed_queries(spark):
         first[s] = sum(k == 1 for k in seen.values()), sum(k == 2 for k in seen.values())
     assert first and {(r["seed"], r["node_id"], r["depth"]) for r in QUERIES["k_hop_neighbourhood_whole"](spark, d).collect()} == want
     assert {r["anchor"]: (r["first_hop"], r["second_hop"]) for r in QUERIES["two_hop_preview_whole"](spark, d).collect()} == first
+
+
+def test_all_records_are_ranked(spark):
+    from folioflow.plans.base import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice").collect()
+    order = sorted(parts, key=lambda r: (-r["p_retailprice"], r["p_partkey"]))
+    assert {(r["p_partkey"], r["rank"]) for r in QUERIES["rank_records_whole"](spark, d).collect()} == {(r["p_partkey"], i) for i, r in enumerate(order, 1)}
+    odd = spark.createDataFrame([(1, 0.5), (2, float("nan")), (3, None), (4, 0.5), (5, -1.0)], "id long, s double")
+    assert {r["id"]: r["rank"] for r in retrieval.ranked(odd, "id", "s").collect()} == {1: 1, 4: 2, 2: 3, 3: 4, 5: 5}
+    assert retrieval.ranked(odd.where("false"), "id", "s").count() == 0
