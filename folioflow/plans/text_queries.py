@@ -161,18 +161,30 @@ def keyword_frequency(spark, d):
     return t.withColumn("rank", k).where("rank <= 16").withColumn("score", F.round(1.0 / F.col("rank"), 6))
 
 
+def _held(docs, items):
+    """(doc_id, item_id) of the documents (doc_id, text) that hold the text of an item (item_id, item)."""
+    w = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
+    # an item of six words or more can only stand where its second to fifth word do (the first and last may be cut): join on these, then look at the text
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(1, 5)])))
+    asked = docs.withColumn("w", w).select("doc_id", F.explode(grams).alias("g"))
+    laid = items.withColumn("w", F.regexp_extract_all("item", F.lit(r"(\S+)"), 1))
+    heads = laid.where("size(w) >= 6").select("item_id", "item", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(1, 5)]).alias("g"))
+    hits = asked.join(F.broadcast(heads) if heads.count() <= 100_000 else heads, "g").select("doc_id", "item_id", "item").distinct()
+    found = hits.join(docs, "doc_id").where(F.expr("contains(text, item)")).select("doc_id", "item_id")
+    # shorter ones may be cut at both ends, so each text is looked through for each of them
+    short = laid.where("size(w) < 6").select("item_id", "item")
+    if short.isEmpty():
+        return found
+    short = F.broadcast(short) if short.count() <= 100_000 else short
+    return found.unionByName(docs.join(short, F.expr("contains(text, item)")).select("doc_id", "item_id"))
+
+
 @query("""SELECT item_id, count(*)::BIGINT AS documents, min(doc_id) AS first_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
 def ground_truth_isolation(spark, d):
     """Items whose text stands in a document."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    # an item can only stand where its second to fifth word do (the first may be cut): join on these, then look at the text
-    w = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(1, 5)])))
-    asked = docs.withColumn("w", w).select("doc_id", F.explode(grams).alias("g"))
-    heads = b.withColumn("w", F.regexp_extract_all("item", F.lit(r"(\S+)"), 1)).select("item_id", "item", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(1, 5)]).alias("g"))
-    hits = asked.join(F.broadcast(heads) if heads.count() <= 100_000 else heads, "g").select("doc_id", "item_id", "item").distinct()
-    return hits.join(docs, "doc_id").where(F.expr("contains(text, item)")).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
+    return _held(docs, b).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
 
 
 def _entities(spark, d):

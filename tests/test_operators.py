@@ -273,3 +273,13 @@ def test_all_records_are_ranked(spark):
     odd = spark.createDataFrame([(1, 0.5), (2, float("nan")), (3, None), (4, 0.5), (5, -1.0)], "id long, s double")
     assert {r["id"]: r["rank"] for r in retrieval.ranked(odd, "id", "s").collect()} == {1: 1, 4: 2, 2: 3, 3: 4, 5: 5}
     assert retrieval.ranked(odd.where("false"), "id", "s").count() == 0
+
+
+def test_short_items_are_held(spark):
+    from folioflow.plans.text_queries import _held
+
+    items = [(1, "two words"), (2, "here are five short words"), (3, "one two three four five six"), (4, "word"), (5, "not there at all"), (6, None)]
+    texts = ["so two words.", "there are five short words", "here are five short words, and swords", "one two three four five sixty", "bone two three four five six.", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in _held(docs, spark.createDataFrame(items, "item_id long, item string")).collect()]
+    assert sorted(got) == sorted((i, k) for i, t in enumerate(texts) for k, x in items if t is not None and x is not None and x in t)
