@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401
+
 #: Characters that separate words, and the same as a regular expression.
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -50,27 +48,46 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
+def staged(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back, which cuts its lineage. Files of few rows (0: of any
+    number) let work that is heavy for its bytes spread over the cores."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once a session, so that Python functions in it can be imported there."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="folioflow-ship-"), "folioflow.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(PACKAGE.parent)))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Own:
+    """A caller's table with its columns named by place (o0, o1, ...), so that names with dots, in other case or equal to a helper's can't clash."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"o{i}" for i in range(len(self.names))])
+        self.columns = self.df.columns
+
+    def at(self, name: str) -> str:
+        """The place of a column: of this very name, else of the name in another case."""
+        exact = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not exact:
+            raise ValueError(f"no column {name} among {self.names}")
+        return f"o{exact[0]}"
+
+    def has(self, name: str) -> bool:
+        return name.lower() in [n.lower() for n in self.names]
+
+    def back(self, df: DataFrame, *added: str) -> DataFrame:
+        """df with the caller's names; the added columns come last and replace the caller's of these names."""
+        new = [a.lower() for a in added]
+        kept = [i for i, n in enumerate(self.names) if n.lower() not in new]
+        return df.select(*[f"o{i}" for i in kept], *added).toDF(*[self.names[i] for i in kept], *added)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,17 +9,18 @@ what stays open is short.
 
 Defined results: a null text has size 0; a null source is the last of the sources; a source without
 words takes none; a document is taken floor(rate) or floor(rate) + 1 times, never more than the cap;
-rows equal in id and size are interchangeable; an empty table gives an empty table; other columns pass.
+rows equal in id, source and text are interchangeable and numbered, so many of them spread over blocks too; very long
+texts count whole; an empty table gives an empty table; `take` keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, ship, staged, words
+from .common import Own, mix64, ship, staged, words
 
 BLOCK = 4096
 LANDING = 10
@@ -86,39 +87,44 @@ def fly(prob: np.ndarray, size: np.ndarray, rand: np.ndarray, land: bool) -> np.
 
 
 def _flight(seed: int, level: int, land: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("size", "descending"), ("tie", "ascending")]).combine_chunks()
         with np.errstate(over="ignore"):
-            draws = mix64(pdf["tie"].to_numpy().astype(np.uint64) + np.arange(len(pdf), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + level))
-        pdf["prob"] = fly(pdf["prob"].to_numpy(), pdf["size"].to_numpy(), (draws >> np.uint64(11)) / 2.0**53, land)
-        return pdf
+            draws = mix64(block.column("tie").to_numpy().astype(np.uint64) + np.arange(len(block), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + level))
+        flown = fly(block.column("prob").to_numpy(), block.column("size").to_numpy(), (draws >> np.uint64(11)) / 2.0**53, land)
+        return block.set_column(block.schema.get_field_index("prob"), "prob", pa.array(flown, pa.float64()))
 
     return run
 
 
 def mix(docs: DataFrame, size: Column | None = None, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, source, text_key (md5 of the text), size, source_size, target, copies (int)."""
+    """One row per row of docs: doc_id, source, text_key (md5 of the text), size, source_size, target, copies (int).
+    size is an expression over docs' own columns; without one, the number of words."""
     ship(docs.sparkSession)
-    measured = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
-        (size if size is not None else size_of(F.col(text_col))).alias("size"),
+    own = Own(docs if size is None else docs.withColumn("size of the mix", size))
+    text = F.col(own.at(text_col))
+    measured = own.df.select(
+        F.col(own.at(id_col)).alias("doc_id"), F.col(own.at(source_col)).alias("source"), F.md5(F.coalesce(text, F.lit(""))).alias("text_key"),
+        (size_of(text) if size is None else F.coalesce(F.col(own.at("size of the mix")), F.lit(0)).cast("long")).alias("size"),
     )
-    small = staged(measured, "mix-sizes")
+    # equal rows are numbered, so that they are dealt to blocks like others
+    small = staged(measured.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("rows")), "mix-sizes")
+    small = small.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
     per = small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     aims = staged(targets(per, share, cap, weights).alias("t").join(per.select(F.col("source").alias("s"), "n"), F.col("t.source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-targets")
     most = aims.agg(F.max("n")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     flat = small.alias("d").join(aims.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")), "left").select("d.*", "source_size", "target", "n", rate.alias("rate"))
     # blocks of a source: a hash of the row deals them out, as many as its rows need
-    tie = F.xxhash64("doc_id", "text_key", F.lit(seed))
+    tie = F.xxhash64("doc_id", "text_key", "k", F.lit(seed))
     flat = flat.select(
-        "*", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("prob"), tie.alias("tie"),
+        "doc_id", "source", "text_key", "size", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("prob"), tie.alias("tie"),
         F.pmod(F.xxhash64(tie, F.lit("block")), F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")).alias("block"),
     )
     schema, level, blocks = flat.schema, 0, -(-most // BLOCK)
     done = []
     while True:
-        flown = flat.groupBy("source", "block").applyInPandas(_flight(seed, level, blocks <= 1), schema)
+        flown = flat.groupBy("source", "block").applyInArrow(_flight(seed, level, blocks <= 1), schema)
         if blocks <= 1:
             done.append(flown)
             break
@@ -135,19 +141,24 @@ def mix(docs: DataFrame, size: Column | None = None, share: float = 1.5, cap: fl
 
 
 def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs as the mix has them: each row as many times as it is taken."""
+    """docs as the mix has them: each row as many times as it is taken, with its own columns, whatever their names."""
+    own = Own(docs)
+    id_, source, text = (own.at(c) for c in (id_col, source_col, text_col))
     # rows that share id, source and text are interchangeable: their copies are summed and shared out again
-    key = mixed.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("__all"), F.count("*").alias("__rows")).alias("m")
-    left = docs.withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("m.doc_id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("m.source")) & (F.col("d.__key") == F.col("m.text_key"))
-    j = left.join(key, on).select(*[F.col(f"d.{c}").alias(c) for c in docs.columns], F.col("m.__all"), F.col("m.__rows"))
-    return _repeat(j, docs.columns)
-
-
-def _repeat(j: DataFrame, columns: list[str]) -> DataFrame:
-    once = j.where("__rows = 1 AND __all > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__all").cast("int")))).select(*columns)
-    same = j.where("__rows > 1 AND __all > 0").groupBy(*columns).agg(F.max("__all").alias("__all"))
-    return once.unionByName(same.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__all").cast("int")))).select(*columns))
+    key = mixed.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("rows")).alias("m")
+    left = own.df.withColumn("key", F.md5(F.coalesce(F.col(text), F.lit("")))).alias("d")
+    on = F.col(f"d.{id_}").eqNullSafe(F.col("m.doc_id")) & F.col(f"d.{source}").eqNullSafe(F.col("m.source")) & (F.col("d.key") == F.col("m.text_key"))
+    j = left.join(key, on).select(*[f"d.{c}" for c in own.columns], "m.all_copies", "m.rows", "d.key")
+
+    def copied(df: DataFrame) -> DataFrame:
+        return df.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("all_copies").cast("int")))).select(*own.columns)
+
+    # equal rows are counted, and the odd copies of a key go to its different rows in order of their hash
+    same = j.where("rows > 1").groupBy(*own.columns, "key", "all_copies", "rows").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(id_, source, "key").orderBy(F.xxhash64(*own.columns)).rowsBetween(Window.unboundedPreceding, -1))
+    odd = F.col("all_copies") % F.col("rows") - F.coalesce(before, F.lit(0))
+    same = same.withColumn("all_copies", F.col("n") * F.expr("all_copies div rows") + F.greatest(F.lit(0), F.least(F.col("n"), odd))).where("all_copies > 0")
+    return own.back(copied(j.where("rows = 1 AND all_copies > 0")).unionByName(copied(same)))
 
 
 def op4(spark, sf_dir):

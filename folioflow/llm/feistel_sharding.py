@@ -6,7 +6,8 @@ can be computed for any row number without a shuffle of the texts' order. `posit
 are the same mapping and its inverse for single numbers.
 
 Defined results: null ids come first; rows equal in all columns are interchangeable; an empty table
-gives an empty table; all columns are read and kept, and columns named shard or slot are replaced.
+gives an empty table; very long texts are read but for their hash moved as they are; all columns are read and kept, whatever their
+names, and columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_path, ship, shuffle_partitions
+from .common import Own, mix64, shared_path, ship, shuffle_partitions
 
 ROUNDS = 6
 
@@ -73,40 +74,44 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int) -> int:
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
-    """docs with __row, the global row number in order of (id, hash of the row), and the number of rows.
+    """docs with `row`, the global row number in order of (id, hash of the row), and the number of rows. docs has no
+    column row, part, at, start, id or hash.
 
     The sorted rows are written once to the shared folder with their partition and place, so the
     offsets, one number per partition, are counted from the very rows that are numbered.
     """
     spark = docs.sparkSession
     path = shared_path(spark, "numbered")
-    order = [F.col("__id").asc_nulls_first(), F.col("__hash")]
-    laid = docs.select("*", F.col(id_col).alias("__id"), F.xxhash64(*docs.columns).alias("__hash"))
-    laid = laid.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("__id", "__hash")
-    laid.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    order = [F.col("id").asc_nulls_first(), F.col("hash")]
+    laid = docs.select("*", F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    laid = laid.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("id", "hash")
+    laid.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
     back = spark.read.parquet(path)
-    part = F.shiftright(F.col("__at"), 33)
-    counts = sorted((r["p"], r["n"]) for r in back.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row per shuffle partition
+    part = F.shiftright(F.col("at"), 33)
+    counts = sorted((r["part"], r["n"]) for r in back.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one row per shuffle partition
     starts, total = [], 0
     for p, n in counts:
         starts.append((p, total))
         total += n
-    offsets = spark.createDataFrame(starts, "__p long, __start long")
-    rows = back.withColumn("__p", part).join(F.broadcast(offsets), "__p")
-    return rows.withColumn("__row", F.col("__start") + F.col("__at").bitwiseAND(2**33 - 1)).drop("__p", "__start", "__at"), total
+    offsets = spark.createDataFrame(starts, "part long, start long")
+    rows = back.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return rows.withColumn("row", F.col("start") + F.col("at").bitwiseAND(2**33 - 1)).drop("part", "start", "at"), total
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20240601, id_col: str = "doc_id") -> DataFrame:
-    """docs with shard (int) and slot (long)."""
+    """docs with shard (int) and slot (long); columns of these names are replaced."""
     ship(docs.sparkSession)
-    rows, n = numbered(docs.drop("shard", "slot"), id_col)
+    own = Own(docs)
+    used = [c for c, n in zip(own.columns, own.names, strict=True) if n.lower() not in ("shard", "slot")]
+    rows, n = numbered(own.df.select(*used), own.at(id_col))
 
     @F.pandas_udf("long")
     def moved(row: pd.Series) -> pd.Series:
         return pd.Series(permute(row.to_numpy(), n, seed))
 
-    out = rows.withColumn("__to", moved("__row"))
-    return out.withColumn("shard", F.pmod("__to", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"__to div {shards}")).drop("__to", "__row")
+    out = rows.withColumn("to", moved("row"))
+    out = out.withColumn("shard", F.pmod("to", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"to div {shards}"))
+    return own.back(out, "shard", "slot")
 
 
 def op8(spark, sf_dir):

@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, staged
+from .common import SPACE, Own, ascii_lower, staged
 
-_ID, _TH, _POS, _AT, _H = "__ld_id", "__ld_text_hash", "__ld_dropped", "__ld_at", "__ld_key"
+_ID, _TH, _POS, _AT, _H = "id", "text_hash", "dropped", "at", "key"
 
 
 def _lines(text: Column) -> Column:
@@ -49,24 +49,26 @@ def dropped_positions(docs: DataFrame, min_docs: int, min_chars: int, id_col: st
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the cleaned text in place, and the columns n_lines and n_dropped (long) added or replaced."""
-    drops = dropped_positions(docs, min_docs, min_chars, id_col, text_col)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    left = docs.select(*own).withColumn(_TH, _text_key(F.col(text_col))).alias("d")
-    joined = left.join(drops.alias("x"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"x.{_ID}")) & (F.col(f"d.{_TH}") == F.col(f"x.{_TH}")), "left")
-    cut = joined.select(*[F.col(f"d.{c}").alias(c) for c in own], F.col(_POS), _lines(F.col(f"d.{text_col}")).alias("__ld_lines"))
-    ends = cut.withColumn("__ld_ends", F.when(F.col(_POS).isNotNull(), F.concat(F.array(F.lit(-1)), F.col(_POS), F.array(F.size("__ld_lines")))))
+    own = Own(docs)
+    id_, text_ = own.at(id_col), own.at(text_col)
+    drops = dropped_positions(own.df, min_docs, min_chars, id_, text_).alias("x")
+    left = own.df.withColumn(_TH, _text_key(F.col(text_))).alias("d")
+    joined = left.join(drops, F.col(f"d.{id_}").eqNullSafe(F.col(f"x.{_ID}")) & (F.col(f"d.{_TH}") == F.col(f"x.{_TH}")), "left")
+    cut = joined.select(*[f"d.{c}" for c in own.columns], _POS, _lines(F.col(f"d.{text_}")).alias("lines"))
+    ends = cut.withColumn("ends", F.when(F.col(_POS).isNotNull(), F.concat(F.array(F.lit(-1)), F.col(_POS), F.array(F.size("lines")))))
 
     def part(k: Column) -> Column:
-        before, here = F.get("__ld_ends", k - 1), F.get("__ld_ends", k)
-        return F.slice(F.col("__ld_lines"), before + 2, here - before - 1)
-
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("__ld_ends") - 1), part))
-    text = F.when(F.col(_POS).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return ends.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in own],
-        F.size("__ld_lines").cast("long").alias("n_lines"),
+        before, here = F.get("ends", k - 1), F.get("ends", k)
+        return F.slice(F.col("lines"), before + 2, here - before - 1)
+
+    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ends") - 1), part))
+    text = F.when(F.col(_POS).isNull(), F.col(text_)).otherwise(F.array_join(kept, "\n"))
+    out = ends.select(
+        *[text.alias(c) if c == text_ else F.col(c) for c in own.columns],
+        F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col(_POS).isNull(), F.lit(0)).otherwise(F.size(_POS)).cast("long").alias("n_dropped"),
-    )
+    )
+    return own.back(out, "n_lines", "n_dropped")
 
 
 def op3(spark, sf_dir):

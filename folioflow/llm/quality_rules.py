@@ -5,8 +5,8 @@ arrays of the row. Windows that occur twice are found by sorting (hash, position
 where the count of different hashes says that some repeat.
 
 Defined results: a null or blank text has no words, all counts 0, and fails; repeated rows give
-repeated results; an empty table gives an empty table; text_col and lang_col alone are read (lang_col
-may be missing), and other columns pass through. A column with an output's name is replaced.
+repeated results; very long texts are measured whole; an empty table gives an empty table; text_col and lang_col
+alone are read (lang_col may be missing), and other columns pass through, whatever their names. A column with an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import Own, words
 
 #: Frequent function words by language.
 STOP_WORDS = {
@@ -38,54 +38,68 @@ WINDOW = 5
 OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
 
 
-def measures(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with the counts the thresholds are made of."""
-    own = [c for c in docs.columns if c not in OUT]
-    stop = sorted({v for ws in STOP_WORDS.values() for w in ws for v in (w, w.capitalize())})
+def _forms(language: str) -> list[str]:
+    """The language's stop words in lower case, with a capital, and in capitals."""
+    return sorted({v for w in STOP_WORDS[language] for v in (w, w.capitalize(), w.upper())})
+
+
+def measures(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", window: int = WINDOW) -> DataFrame:
+    """docs, whose columns have no name used here, with the counts the thresholds are made of. Stop words are those of the
+    text's own language; where that is null, of the listed language that has most of them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     solid = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    a = docs.select(*own, words(F.col(text_col)).alias("__w"), solid.alias("__l"))
+    a = docs.select("*", words(F.col(text_col)).alias("w"), solid.alias("l"))
     b = a.select(
-        *own, "__w", F.size("__w").alias("__n"), F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).alias("n_dup_lines"),
+        *docs.columns, "w", F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"),
+        (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
     )
-    hashed = F.transform(F.sequence(F.lit(0), F.col("__n") - window), lambda i: F.xxhash64(*[F.get(F.col("__h"), i + k) for k in range(window)]))
-    c = b.withColumn("__g", F.when(F.col("__n") >= window, hashed).otherwise(F.array().cast("array<bigint>")))
-    pairs = F.sort_array(F.arrays_zip(F.col("__g").alias("g"), F.sequence(F.lit(0), F.size("__g") - 1).alias("p")))
-    d = c.withColumn("__s", F.when(F.size(F.array_distinct("__g")) < F.size("__g"), pairs))
+    hashed = F.transform(F.sequence(F.lit(0), F.col("n") - window), lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(window)]))
+    c = b.withColumn("g", F.when(F.col("n") >= window, hashed).otherwise(F.array().cast("array<bigint>")))
+    pairs = F.sort_array(F.arrays_zip(F.col("g").alias("g"), F.sequence(F.lit(0), F.size("g") - 1).alias("p")))
+    d = c.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), pairs))
 
     def twice(x: Column, i: Column) -> Column:
-        return F.coalesce(F.get("__s", i - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get("__s", i + 1)["g"] == x["g"], F.lit(False))
+        return F.coalesce(F.get("s", i - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get("s", i + 1)["g"] == x["g"], F.lit(False))
 
-    at = F.sort_array(F.transform(F.filter("__s", twice), lambda x: x["p"]))
+    at = F.sort_array(F.transform(F.filter("s", twice), lambda x: x["p"]))
     covered = F.aggregate(
         at, F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n")),
         lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(window), p - acc["last"])).alias("n")), lambda acc: acc["n"],
     )
+
+    def stops(language: str) -> Column:
+        return F.size(F.filter("w", lambda w: w.isin(_forms(language))))
+
+    most = F.greatest(*map(stops, STOP_WORDS))
+    stop = most
+    if lang_col is not None:
+        stop = F.when(F.col(lang_col).isNull(), most)
+        for language in STOP_WORDS:
+            stop = stop.when(F.col(lang_col) == language, stops(language))
     return d.select(
-        *own, F.col("__n").cast("long").alias("n_words"), F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        *docs.columns, F.col("n").cast("long").alias("n_words"), F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.col("n_dup_lines").cast("long"),
-        F.when(F.col("__s").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("__w", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
+        F.when(F.col("s").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"), stop.cast("long").alias("n_stop_words"),
     )
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", thresholds=THRESHOLDS) -> DataFrame:
-    """docs with the measures, base_failed and kept. The stop-word rule is for languages that have a list."""
-    m = measures(docs, text_col)
+    """docs with the measures, base_failed and kept. Texts of a language without a list aren't held to the stop-word rule."""
+    own = Own(docs)
+    text = own.at(text_col)
+    m = measures(own.df, text, own.at(lang_col) if own.has(lang_col) else None)
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    lines = F.greatest(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)), F.lit(1)).cast("double")
+    lines = F.greatest(F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)), F.lit(1)).cast("double")
     value = {
         "n_words": F.col("n_words"), "chars_per_word": F.col("word_chars") / n, "symbols_per_word": F.col("n_symbols") / n,
         "dup_line_ratio": F.col("n_dup_lines") / lines, "repeat_ratio": F.col("n_repeat_words") / n, "stop_ratio": F.col("n_stop_words") / n,
     }
-    known = F.coalesce(F.col(lang_col).isin(list(STOP_WORDS)), F.lit(True)) if lang_col in docs.columns else F.lit(True)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     kept = ~base
     for name, sign, bound in thresholds:
         holds = value[name] >= bound if sign == ">=" else value[name] <= bound
-        kept = kept & (holds | ~known if name == "stop_ratio" else holds)
-    return m.select("*", base.alias("base_failed"), kept.alias("kept"))
+        kept = kept & F.coalesce(holds, F.lit(True))  # no measure, no rule
+    return own.back(m.select("*", base.alias("base_failed"), kept.alias("kept")), *OUT)
 
 
 def op7(spark, sf_dir):
@@ -95,12 +109,15 @@ def op7(spark, sf_dir):
 
 
 def _sql() -> str:
-    stop = ", ".join("'" + v + "'" for v in sorted({v for ws in STOP_WORDS.values() for w in ws for v in (w, w.capitalize())}))
+    def stops(language: str) -> str:
+        return "len([x for x in w if x IN (" + ", ".join(f"'{v}'" for v in _forms(language)) + ")])"
+
+    stop = "CASE " + " ".join(f"WHEN lang = '{g}' THEN {stops(g)}" for g in STOP_WORDS) + f" WHEN lang IS NULL THEN greatest({', '.join(map(stops, STOP_WORDS))}) END"
     col = {
         "n_words": "n_words", "chars_per_word": "word_chars / n", "symbols_per_word": "n_symbols / n", "dup_line_ratio": "n_dup_lines / lines",
         "repeat_ratio": "n_repeat_words / n", "stop_ratio": "stop / n",
     }
-    tests = [f"({col[m]} {s} {b}" + (" OR coalesce(lang NOT IN ('en', 'de', 'fr', 'es'), false))" if m == "stop_ratio" else ")") for m, s, b in THRESHOLDS]
+    tests = [f"coalesce({col[m]} {s} {b}, true)" for m, s, b in THRESHOLDS]
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents
@@ -116,7 +133,7 @@ WITH d AS (
 ), m AS (
   SELECT w.r, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, len([x for x in w if x IN ({stop})])::DOUBLE AS stop,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, ({stop})::DOUBLE AS stop,
     greatest(len(w), 1)::DOUBLE AS n, greatest(lines, 1)::DOUBLE AS lines
   FROM w LEFT JOIN cover ON w.r = cover.r
 )

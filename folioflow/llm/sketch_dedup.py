@@ -5,15 +5,17 @@ value; in round T + j all fall into coordinate j. Rounds stop as soon as every c
 filled, so a set of n shingles costs about n + T log T steps and no coordinate stays empty.
 
 Links are exact: texts with the same shingle set are one class, and pairs of classes that share a
-band are compared on their full sets. Pairs within a band aren't all emitted: all members meet the first and
-then the last of their band; what is linked then is one component. Bands that still hold several components
-are dealt into blocks of bounded size, and pairs of blocks count the common shingles of their members of different
-components through an index, giving at most a link for each two components. No cap is set on bands or partners. With bands of R rows a pair at similarity s is
+band are compared on their full sets. Pairs within a band aren't all emitted: all members meet the first, then the last,
+then others of their band in turn, as long as that still joins many; what is linked is one component, and members of one component don't
+meet again. Bands that still hold several components are dealt into blocks of bounded size, and pairs of blocks count
+the common shingles of their members of different components through an index, giving at most a link for each two components. No
+cap is set on bands or partners. With bands of R rows a pair at similarity s is
 met with probability 1 - (1 - s^R)^B: at 0.8, R = 4 and B = 24, all but 3e-6.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle; rows that share a doc_id are judged each by its own text; a null doc_id is passed over when the smallest id is taken (a component of such rows
-only has a null id); an empty table gives an empty table; other columns are not read.
+only has a null id); texts at the very similarity are linked; very long texts are read whole;
+an empty table gives an empty table; other columns are not read, and `keep_representatives` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, ship, staged
+from .common import Own, discard, mix64, ship, staged
 
 BANDS, ROWS = 24, 4
 T = BANDS * ROWS
 #: Shingles in a block of a crowded band.
 BLOCK = 1 << 16
+#: At most so many rounds of heads; from the third on, one goes on if it gave a link for each LEAST_LINKS-th open band.
+HEADS, LEAST_LINKS = 8, 5
+#: Beyond so many edges, minima are written as tables before they are joined, so that the join can split a hub's rows.
+MANY_EDGES = 1_000_000
 _MEMO_LIMIT = 500_000
 
 
@@ -178,16 +184,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round writes the shrinking edges to the shared folder; groups are only ever summed to their minimum.
     """
     now = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), name)
-    before = None
+    before, n = None, now.count()
     while True:
+        last, apart = now, n > MANY_EDGES
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(least, f"{name}-least") if apart else least
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
+        large = staged(large, f"{name}-large") if apart else large
         # small star: every end points down to the least of its lower neighbours
         low = large.groupBy("b").agg(F.min("a").alias("m"))
+        low = staged(low, f"{name}-low") if apart else low
         small = large.join(low, "b").select("m", F.col("a").alias("x")).union(low.select("m", F.col("b").alias("x"))).where("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
         now = staged(small, name)
+        discard(last, *([least, large, low] if apart else []))
         sign = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(2**31)))).first()
+        n = sign[0]
         if sign == before:
             break
         before = sign
@@ -198,15 +210,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """One row per row of docs: doc_id, n_shingles, component_id, kept, text_key (md5 of the text), and group, a number
     of the component that differs even where components share their least doc_id (null without words)."""
     ship(docs.sparkSession)
+    own = Own(docs)
+    docs, id_col, text_col = own.df, own.at(id_col), own.at(text_col)
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     sketched = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), key.alias("key")).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     schema = "doc_id struct<id bigint, key string>, n_shingles long, f1 long, f2 long, bands array<long>"
     rows = staged(sketched.mapInArrow(_sketch_batches(shingle), schema), "sketches").select("doc_id.*", "n_shingles", "f1", "f2", "bands")
-    # texts with one shingle set are one class; its text is looked up by one text key of it
+    # texts with one shingle set are one class, numbered as the table is written; its text is looked up by one text key of it
     full = rows.where("n_shingles > 0")
     classes = staged(
         full.groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("least"), F.min("key").alias("class_key"), F.first("bands").alias("bands"))
-        .withColumn("class", F.xxhash64("n_shingles", "f1", "f2", "class_key")),
+        .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
     banded = classes.select("class", "n_shingles", F.posexplode("bands").alias("at", "h")).select("class", "n_shingles", F.xxhash64("at", "h").alias("band"))
@@ -237,11 +251,18 @@ def _labels(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle: int, p
         of = of.select(F.col("id").alias("component"), F.col("component").alias("to"))
         return staged(label.join(of, "component", "left").select("class", F.coalesce("to", "component").alias("component")), "labels")
 
-    # two rounds: the members of a band meet its first, then its last member; bands of up to three are done then
-    for pick in (F.min, F.max):
-        now = met.join(label, "class")
-        ends = now.groupBy("band").agg(pick(F.struct("class", "n_shingles", "component")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    # the members of a band meet its first, then its last member: bands of up to three are done then; larger ones go on with others
+    for turn in range(HEADS):
+        now = met.join(label, "class") if turn < 2 else met.where("members > 3").join(label, "class")
+        order = F.col("class") if turn < 2 else F.xxhash64("class", F.lit(turn))
+        pick = F.max if turn == 1 else F.min
+        ends = now.groupBy("band").agg(pick(F.struct(order.alias("o"), "class", "n_shingles", "component")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         heads = staged(ends.where("lo <> hi").select("band", F.col("h.class").alias("head"), F.col("h.n_shingles").alias("n_head"), F.col("h.component").alias("c_head")), "heads")
+        n_heads = heads.count()
+        if not n_heads:
+            if turn < 2:
+                continue
+            return label
         ordered = F.col("class") < F.col("head")
         pairs = now.join(heads, "band").where(f"component <> c_head AND 100 * least(n_shingles, n_head) >= {percent} * greatest(n_shingles, n_head)").select(
             F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b"),
@@ -251,7 +272,11 @@ def _labels(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle: int, p
         sa, sb = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
         both = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "set_a", "set_b").mapInArrow(_intersections, "a long, b long, both long")
         links = staged(both.join(pairs, ["a", "b"]).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b"), "links")
-        label = merged(links)
+        n_links = links.count()
+        label = merged(links) if n_links else label
+        discard(heads, pairs, links)
+        if turn >= 2 and n_links * LEAST_LINKS < n_heads:
+            break
     # the rest: bands of several components, in blocks of bounded size; blocks of one and the same component don't meet
     now = staged(met.where("members > 3").join(label, "class").drop("members"), "open-members")
     open_ = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
@@ -287,19 +312,20 @@ def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_key").alias("key"))
     first = staged(judged.groupBy("group").agg(F.min(rank).alias("first")), "firsts")  # a table, so a large group can be split in the join
     rows = staged(judged.join(first, "group").select("doc_id", "text_key", (rank == F.col("first")).alias("stays")), "representatives")
-    left = docs.withColumn("__own_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    own = Own(docs)
+    id_ = own.at(id_col)
+    left = own.df.withColumn("key", F.md5(F.coalesce(F.col(own.at(text_col)), F.lit(""))))
 
     def of(df: DataFrame):
-        named = df.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-        return named, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key"))
+        return df.select("doc_id", "text_key").distinct(), F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
 
     stay = left.join(*of(rows.where("NOT stays")), "left_anti")
     # rows that repeat an id and its text
     again = rows.where("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
-        return stay.drop("__own_key")
+        return own.back(stay)
     once, same = stay.join(*of(again), "left_anti"), stay.join(*of(again), "left_semi")
-    return once.unionByName(same.dropDuplicates([id_col, "__own_key"])).drop("__own_key")
+    return own.back(once.unionByName(same.dropDuplicates([id_, "key"])))
 
 
 def op9(spark, sf_dir):

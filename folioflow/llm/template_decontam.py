@@ -5,13 +5,15 @@ sentences become typed placeholders (names side by side become one), the rest is
 template words of the items are hash-joined with those of all documents. Hits of an item on one alignment (document position
 less item position) are counted together, and so are those of a chain of alignments with steps of SLACK words at most, which
 inserted and deleted words cause; slot values of both sides must map one to one within an alignment or chain. A document is
-contaminated if the hits of one alignment or chain make up `coverage` of an item's windows, each window counted once. The item windows are broadcast up to BROADCAST_ROWS rows, else joined by shuffle.
+contaminated if the hits of one alignment or chain make up `coverage` of an item's windows, each window counted once. The
+item windows are broadcast up to BROADCAST_BYTES, else joined by shuffle.
 
 Defined results: null, empty and blank texts hold nothing; items of fewer words than a window are one window;
 an item that begins with a capitalised word is also looked for with it as a name, as it is after a letter, comma or line break;
 windows with fewer literal words than half of theirs say too little and aren't used, so an item without any other, or of
-one window, is also looked for by its plain words, and values other than its own aren't found if it has no usable window; repeated rows give repeated results; empty tables give no matches; text_col and
-id_col alone are read.
+one window, is also looked for by its plain words, and values other than its own aren't found if it has no usable window; values that could map to several others take the one that most places have, of equals the greatest, and the lowest of equally
+well matched items is named by `op10`; repeated rows give repeated results; very long texts are read whole; empty tables give no matches; text_col
+and id_col alone are read, and `drop_contaminated` keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, staged
+from .common import SPACE, SPACES, Own, staged
 
 WINDOW = 8
 COVERAGE = 0.5
 #: The most words by which neighbouring alignments of a chain differ.
 SLACK = 8
-BROADCAST_ROWS = 500_000
+#: Item windows are broadcast up to this size, taken as ITEM_BYTES a row besides their values.
+BROADCAST_BYTES, ITEM_BYTES = 100_000_000, 160
 #: Units that follow a number.
 UNITS = "km m cm mm mi miles mile ft feet in inches kg g mg lb lbs pounds oz l ml liters litres s sec seconds min minutes h hours hour days day weeks week months month years year usd eur dollars dollar euros euro cents percent pct mph kmh degrees"
 #: Forms of an item: its template, that with its first word as a name, and its plain words.
@@ -60,10 +63,11 @@ def template_words(text: Column) -> tuple[Column, Column]:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACES)), values
 
 
-def _window_hashes(hashes: str, n: Column, width: int) -> Column:
-    """A hash for each window of an array column of word hashes."""
-    h = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(width)], F.lit(width)))
-    return F.when(n >= width, h).otherwise(F.array().cast("array<bigint>"))
+def _windows(hashes: str, width: int, kind: int) -> Column:
+    """(pos, hash) of each window of an array column of word hashes; kind is 1 for template words and -1 for plain ones."""
+    n = F.size(hashes)
+    w = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(width)], F.lit(kind * width)).alias("hash")))
+    return F.when(n >= width, w).otherwise(F.array().cast("array<struct<pos: int, hash: bigint>>"))
 
 
 def _laid(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
@@ -99,43 +103,42 @@ def benchmark_windows(benchmark: DataFrame, window: int, item_col: str, text_col
     def starts() -> Column:
         return F.sequence(F.lit(0), F.col("__n") - F.col("width"))
 
-    def hashed(at: Column) -> Column:
-        # hashing a slice gives what hashing its words one by one gives, as _window_hashes does for a fixed width
-        return F.xxhash64(F.slice(F.col("__h"), at + 1, F.col("width")), F.col("width"))
+    def hashed(at: Column, kind: int) -> Column:
+        # hashing a slice gives what hashing its words one by one gives, as _windows does for a fixed width
+        return F.xxhash64(F.slice(F.col("__h"), at + 1, F.col("width")), F.col("width") * kind)
 
     laid = staged(laid.withColumn("__use", F.filter(starts(), lambda at: F.size(placeholders(at)) * 2 <= F.col("width"))), "bench-forms")
     out = laid.select("item", "form", "width", "__t", "__v", "__h", F.explode("__use").alias("at"))
-    out = out.withColumn("slots", placeholders(F.col("at"))).withColumn("hash", hashed(F.col("at")))
+    out = out.withColumn("slots", placeholders(F.col("at"))).withColumn("hash", hashed(F.col("at"), 1))
     out = out.withColumn("values", F.transform("slots", lambda k: F.concat_ws(" ", F.get(F.col("__t"), F.col("at") + k), F.get(F.col("__v"), F.col("at") + k))))
     cols = ["item", "form", "at", "width", "hash", "slots", "values"]
     # what has no usable window, or is one window that its surroundings may change, is looked for word by word too
     bare = laid.where((F.size("__use") == 0) | (F.col("__n") <= window)).select("item", F.lit(EXACT).alias("form"), _exact_words(F.col("__v")).alias("__t")).distinct()
     bare = bare.withColumn("__h", F.transform("__t", lambda w: F.xxhash64(w))).withColumn("__n", F.size("__t")).withColumn("width", F.least(F.lit(window), F.col("__n")))
-    bare = bare.select("item", "form", "width", "__h", F.explode(starts()).alias("at")).withColumn("hash", hashed(F.col("at")))
+    bare = bare.select("item", "form", "width", "__h", F.explode(starts()).alias("at")).withColumn("hash", hashed(F.col("at"), -1))
     bare = bare.withColumn("slots", F.array().cast("array<int>")).withColumn("values", F.array().cast("array<string>"))
     return out.select(*cols).unionByName(bare.select(*cols)).distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, windows, of): the items that a text holds to the coverage or more; text_key is its md5."""
-    items = staged(benchmark_windows(benchmark, window, item_col, item_text_col), "bench-windows")
-    n_items = items.count()
-    exact = F.col("form") == EXACT
-    kinds = sorted((r[0], r[1]) for r in items.select("width", exact).distinct().collect())  # at most two of each width up to window
+    bench, own = Own(benchmark), Own(docs)
+    id_, text = own.at(id_col), own.at(text_col)
+    items = staged(benchmark_windows(bench.df, window, bench.at(item_col), bench.at(item_text_col)), "bench-windows")
+    size = items.agg(F.count("*").alias("n"), F.sum(F.char_length(F.array_join("values", " "))).alias("chars")).first()
+    kinds = sorted((r[0], r[1]) for r in items.select("width", F.when(F.col("form") == EXACT, -1).otherwise(1)).distinct().collect())  # at most two of each width up to window
     of = items.groupBy("item", "form").agg(F.count_distinct("at").alias("of"))
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    laid = _laid(docs, text_col, [F.col(id_col).alias("doc_id"), key.alias("text_key")])
-    hits = None
-    side = F.broadcast(items) if n_items <= BROADCAST_ROWS else items
-    bare = laid.withColumn("__h", F.transform(_exact_words(F.col("__v")), lambda w: F.xxhash64(w))).withColumn("__n", F.size("__h"))
-    for w, whole in kinds or [(window, False)]:
-        some = (bare if whole else laid).select("doc_id", "text_key", F.posexplode(_window_hashes("__h", F.col("__n"), w)).alias("pos", "hash"))
-        one = some.join(side, "hash").where((F.col("width") == w) & (exact if whole else ~exact))
-        hits = one if hits is None else hits.unionByName(one)
-    hits = staged(hits.select("doc_id", "text_key", "pos", "item", "form", "at", "slots", "values").distinct(), "bench-hits")
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    laid = _laid(own.df, text, [F.col(id_).alias("doc_id"), key.alias("text_key")])
+    laid = laid.withColumn("__e", F.transform(_exact_words(F.col("__v")), lambda w: F.xxhash64(w))) if any(kind < 0 for _, kind in kinds) else laid
+    # one pass over the texts: windows of all widths and both kinds, told apart by what is hashed
+    windows = F.concat(*[_windows("__h" if kind > 0 else "__e", w, kind) for w, kind in kinds or [(window, 1)]])
+    side = F.broadcast(items) if size["n"] * ITEM_BYTES + 2 * (size["chars"] or 0) <= BROADCAST_BYTES else items
+    hits = laid.select("doc_id", "text_key", F.inline(windows)).join(side, "hash").select("doc_id", "text_key", "pos", "item", "form", "at", "slots", "values")
+    hits = staged(hits.distinct(), "bench-hits")
     hits = _lines(hits)
     open_ = hits.where(F.size("slots") > 0)
-    wrong = _inconsistent(docs, open_, id_col, text_col) if not open_.isEmpty() else None
+    wrong = _inconsistent(own.df, open_, id_, text) if not open_.isEmpty() else None
     if wrong is not None:
         hits = hits.alias("h").join(wrong.alias("w"), _same("h", "w", [*LINE, "at", "pos"]), "left_anti")
     runs = hits.groupBy(*LINE).agg(F.count_distinct("at").alias("windows"))
@@ -169,7 +172,7 @@ def _lines(hits: DataFrame) -> DataFrame:
 def _inconsistent(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Hits (doc_id, text_key, item, form, line, at, pos) with a slot whose value maps otherwise than most of the line's."""
     wanted = hits.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    few = wanted.count() <= BROADCAST_ROWS
+    few = wanted.count() * ITEM_BYTES <= BROADCAST_BYTES
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
     laid = _laid(texts, "text", [F.col("doc_id"), F.col("text_key")]).select(
@@ -187,9 +190,10 @@ def _inconsistent(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that hold no item, with their own columns."""
-    bad = find(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    left = docs.withColumn("__own_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    return left.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left_anti").drop("__own_key")
+    bad = find(docs, benchmark, id_col=id_col, text_col=text_col, **how).select("doc_id", "text_key").distinct()
+    own = Own(docs)
+    left = own.df.withColumn("key", F.md5(F.coalesce(F.col(own.at(text_col)), F.lit(""))))
+    return own.back(left.join(bad, F.col(own.at(id_col)).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_anti"))
 
 
 def op10(spark, sf_dir):

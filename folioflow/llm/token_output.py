@@ -37,7 +37,7 @@ BLOCK_IDS = 1 << 19
 #: A pair is replaced while it is at least this frequent in its block; a rule costs 12 bytes and saves 2 a use.
 MIN_COUNT = 8
 MEMO_LIMIT = 1_300_000
-_MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
+_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0x2C1B3C6D], np.uint32)
 _encoders: dict = {}
 #: The signs that byte-level vocabularies write bytes as: printable Latin-1 as itself, the rest from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -140,60 +140,83 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 20-bit hash of each pair."""
+    h = (a * _MIX[0]) ^ (b * _MIX[1])
+    h ^= h >> np.uint32(15)
+    h *= _MIX[2]
+    return h >> np.uint32(12)
+
+
 def re_pair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, expansion lengths) of a sequence; new symbols count up from first.
 
-    A pass counts all adjacent pairs and replaces every one that is frequent; where two such pairs overlap, the
-    more frequent one is replaced, and within a run of one pair every other. Passes go on until no pair is frequent
-    or a pass shortens the sequence by less than 1 %.
+    A pass counts pairs of adjacent symbols and replaces every frequent one: where two such pairs overlap, the more
+    frequent one; within a run of one pair, every other. A pair that comes out of that fewer than half of min_count times
+    waits for the next pass, unless all do. Passes go on until no pair stands min_count times. A pair can only become
+    frequent by a new symbol, so from the second pass on only pairs with one, or frequent before, are counted.
     """
-    seq, rules, lengths = ids.astype(np.uint32), [], []
+    seq, rules, lengths, n_rules = ids.astype(np.uint32), [], [], 0
     length_of = np.ones(first, np.uint32)
-    room = 65536 - first if first < 60000 else 1 << 30  # symbols that fit 16 bits are stored so
-    while len(seq) > 1 and room > 0:
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
+    places = np.arange(max(len(seq) - 1, 0))
+    while len(places):
+        a, b = seq[places], seq[places + 1]
+        keys = a.astype(np.uint64) << np.uint64(32) | b
         order = np.sort(keys)
-        starts = np.concatenate([[0], np.flatnonzero(order[1:] != order[:-1]) + 1, [len(order)]])
-        n = np.diff(starts)
+        starts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+        n = np.diff(np.append(starts, len(order)))
         often = n >= min_count
         if not often.any():
             break
-        pairs, n = order[starts[:-1][often]], n[often]
-        pairs = pairs[np.argsort(-n, kind="stable")][:room]  # place in this order is rank
+        pairs, n = order[starts[often]], n[often]
+        pairs = pairs[np.argsort(-n, kind="stable")]  # place in this order is rank
+        pa, pb = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         # ranks are looked up by hash; of pairs with one hash the more frequent one has the place, the others wait for the next pass
-        slots = np.zeros(1 << 18, np.int32)
-        slots[(pairs[::-1] * _MIX) >> _SHIFT] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
-        at = slots[(keys * _MIX) >> _SHIFT]
-        rank = np.where(pairs[at] == keys, at, np.int32(len(pairs)))
-        # in a run of one pair every other position stays
-        same = rank[1:] == rank[:-1]
-        same &= rank[1:] < len(pairs)
-        if same.any():
-            place = np.arange(len(rank))
-            first_of_run = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), place, 0))
-            rank[(place - first_of_run) & 1 == 1] = len(pairs)
-        pad = np.concatenate([[len(pairs)], rank, [len(pairs)]]).astype(np.int32)
-        chosen = np.flatnonzero((rank < pad[:-2]) & (rank < pad[2:]))
-        picked = rank[chosen]
-        used = np.flatnonzero(np.bincount(picked, minlength=len(pairs)))
+        slots = np.zeros(1 << 20, np.int32)
+        own, slot = _slot(pa, pb), _slot(a, b)
+        slots[own[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+        rank = slots[slot]
+        hit = pairs[rank] == keys
+        at, rank = places[hit], rank[hit]
+        none, near = np.int32(len(pairs)), np.diff(at) == 1
+        same = near & (rank[1:] == rank[:-1])
+        if same.any():  # in a run of one pair every other place stays
+            k = np.arange(len(rank))
+            first_of_run = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), k, 0))
+            rank = np.where((k - first_of_run) & 1 == 1, none, rank)
+        before = np.concatenate([[none], np.where(near, rank[:-1], none)])
+        after = np.concatenate([np.where(near, rank[1:], none), [none]])
+        wins = (rank < before) & (rank < after)
+        chosen, picked = at[wins], rank[wins]
+        times = np.bincount(picked, minlength=len(pairs))
+        used = np.flatnonzero(times * 2 >= min_count)
         if not len(used):
-            break
+            used = np.flatnonzero(times)[:1]
         new_symbol = np.zeros(len(pairs), np.uint32)
-        new_symbol[used] = first + sum(map(len, rules)) + np.arange(len(used), dtype=np.uint32)
-        made = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        new_symbol[used] = first + n_rules + np.arange(len(used), dtype=np.uint32)
+        symbols = new_symbol[picked]
+        chosen, symbols = chosen[symbols > 0], symbols[symbols > 0]
+        made = np.stack([pa[used], pb[used]], 1)
         rules.append(made)
+        n_rules += len(used)
         length_of = np.concatenate([length_of, length_of[made[:, 0]] + length_of[made[:, 1]]])
         lengths.append(length_of[-len(used) :])
-        room -= len(used)
-        before = len(seq)
-        seq[chosen] = new_symbol[picked]
+        # what may be frequent next: what was and stays, losers of a slot among it, and what touches a new symbol
+        open_ = np.zeros(len(seq), bool)
+        open_[at] = True
+        lost = np.zeros(1 << 20, bool)
+        lost[own[slots[own] != np.arange(len(pairs))]] = True
+        open_[places[lost[slot]]] = True
+        seq[chosen] = symbols
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
-        seq = seq[keep]
-        if before - len(seq) < before // 100:
-            break
-    none = np.empty((0, 2), np.uint32)
-    return seq, np.concatenate([none, *rules]), np.concatenate([np.empty(0, np.uint32), *lengths])
+        seq, open_ = seq[keep], open_[keep]
+        fresh = seq >= first + n_rules - len(used)
+        open_[:-1] |= fresh[1:]
+        open_ |= fresh
+        places = np.flatnonzero(open_[:-1])
+    empty = np.empty((0, 2), np.uint32)
+    return seq, np.concatenate([empty, *rules]), np.concatenate([np.empty(0, np.uint32), *lengths])
 
 
 def pack_block(doc_ids: list, counts: np.ndarray, ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> bytes:

@@ -1,14 +1,14 @@
 """URL filters: host-suffix and path-prefix expressions of each URL are joined to a rule list.
 
-Only the shapes that some rule has (number of host labels, length of path prefix) are expanded, so
-a URL gives at most as many expressions as there are shapes. The equi-join runs on the first 32 bits
+Only the shapes that some rule has (number of host labels, length of path prefix) are expanded, from a
+table, so a URL gives at most as many expressions as there are shapes, and the plan doesn't grow with the rules. The equi-join runs on the first 32 bits
 of the expressions' SHA-256; a join condition then compares the whole digests, and the longest
 rule wins (of two rules of one length for the same URL, block before allow, then the lower rule text).
 
 Defined results: a null URL, or one without ://, has an empty host and path and fits no rule; a URL
 that fits none gets the default verdict; repeated rows give repeated results; an empty table or an
-empty rule list works. The URL column alone is read; other columns pass through, and columns named
-host, path, rule or verdict are replaced.
+empty rule list works; very long URLs are read whole. The URL column alone is read; other columns pass through, whatever
+their names, and columns named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, Own, staged
 
-#: The rules are broadcast up to this many rows (about 100 bytes each); a longer list is joined by shuffle.
-BROADCAST_RULES = 500_000
+#: The rules are broadcast up to this many rows (about 200 bytes each); a longer list is joined by shuffle.
+BROADCAST_RULES = 200_000
+#: So are the shapes, 4 bytes each.
+BROADCAST_SHAPES = 1_000_000
 
 #: (host, path, action): fixed by the query's contract.
 RULES = [
@@ -52,34 +54,30 @@ def compile_rules(rules: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule (null where none fits) and verdict."""
-    compiled = compile_rules(rules).persist()
-    n_rules = compiled.count()
-    shapes = sorted((r["labels"], r["chars"]) for r in compiled.select("labels", "chars").distinct().collect())  # a few hundred at most: labels by path lengths
-    host, path = url_parts(F.col("__u"))
+    own = Own(pages)
+    url = own.at(url_col)
+    compiled = staged(compile_rules(rules), "url-rules")
+    size = compiled.agg(F.count("*").alias("n"), F.count_distinct("labels", "chars").alias("shapes")).first()
+    host, path = url_parts(F.col("u"))
     # each different URL is judged once, whatever the number of its rows
-    urls = pages.select(F.col(url_col).alias("__u")).where(F.col("__u").isNotNull()).distinct().select("__u", host.alias("__h"), path.alias("__p"))
-    urls = urls.withColumn("__labels", F.split("__h", r"\."))
-
-    def expression(n: int, chars: int) -> Column:
-        suffix = F.array_join(F.slice(F.col("__labels"), -n, n), ".")
-        fits = (F.size("__labels") >= n) & (F.char_length("__p") >= chars) & (F.col("__h") != "")
-        return F.when(fits, F.concat_ws("\n", suffix, F.substring("__p", 1, chars)))
-
-    all_of = F.filter(F.array(*[expression(*s) for s in shapes]) if shapes else F.array().cast("array<string>"), lambda e: e.isNotNull())
-    asked = urls.select("__u", F.explode(all_of).alias("__e")).select("__u", F.sha2("__e", 256).alias("__d"))
-    asked = asked.withColumn("__k", F.conv(F.substring("__d", 1, 8), 16, 10).cast("long"))
-    side = F.broadcast(compiled) if n_rules <= BROADCAST_RULES else compiled
-    hits = asked.join(side, (asked["__k"] == side["prefix"]) & (asked["__d"] == side["digest"]))
-    best = hits.groupBy("__u").agg(
-        F.min(F.struct((-F.char_length("rule")).alias("len"), F.when(F.col("action") == "block", 0).otherwise(1).alias("kind"), "rule", "action")).alias("__best")
+    urls = own.df.select(F.col(url).alias("u")).where(F.col("u").isNotNull()).distinct().select("u", host.alias("h"), path.alias("p"))
+    # a row for each host suffix, with the path lengths that rules of as many labels have
+    suffixes = urls.where("h <> ''").select("u", "p", F.split("h", r"\.").alias("l")).select("u", "p", F.explode(
+        F.transform(F.sequence(F.lit(1), F.size("l")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("l", -n, n), ".").alias("suffix")))).alias("s"))
+    shapes = compiled.groupBy("labels").agg(F.collect_set("chars").alias("lengths"))
+    shapes = F.broadcast(shapes) if size["shapes"] <= BROADCAST_SHAPES else shapes
+    asked = suffixes.join(shapes, F.col("s.n") == F.col("labels")).select("u", "p", "s.suffix", F.explode("lengths").alias("chars")).where(F.char_length("p") >= F.col("chars"))
+    asked = asked.select("u", F.sha2(F.concat_ws("\n", "suffix", F.substring("p", F.lit(1), F.col("chars"))), 256).alias("d"))
+    asked = asked.withColumn("k", F.conv(F.substring("d", 1, 8), 16, 10).cast("long"))
+    side = F.broadcast(compiled) if size["n"] <= BROADCAST_RULES else compiled
+    hits = asked.join(side, (asked["k"] == side["prefix"]) & (asked["d"] == side["digest"]))
+    best = hits.groupBy("u").agg(
+        F.min(F.struct((-F.char_length("rule")).alias("len"), F.when(F.col("action") == "block", 0).otherwise(1).alias("kind"), "rule", "action")).alias("best")
     )
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = url_parts(F.col(f"p.{url_col}"))
-    joined = pages.select(*own).alias("p").join(best.alias("b"), F.col(f"p.{url_col}") == F.col("b.__u"), "left")
-    return joined.select(
-        *[F.col(f"p.{c}").alias(c) for c in own], host.alias("host"), path.alias("path"),
-        F.col("b.__best.rule").alias("rule"), F.coalesce(F.col("b.__best.action"), F.lit(default)).alias("verdict"),
-    )
+    host, path = url_parts(F.col(f"p.{url}"))
+    joined = own.df.alias("p").join(best.alias("b"), F.col(f"p.{url}") == F.col("b.u"), "left")
+    out = joined.select(*[f"p.{c}" for c in own.columns], host.alias("host"), path.alias("path"), F.col("b.best.rule").alias("rule"), F.coalesce(F.col("b.best.action"), F.lit(default)).alias("verdict"))
+    return own.back(out, "host", "path", "rule", "verdict")
 
 
 def op6(spark, sf_dir):
