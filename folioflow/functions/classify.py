@@ -41,7 +41,7 @@ def source_of_path(path: Column) -> Column:
 def domain_of_path(path: Column, multi_dash: tuple[str, ...] = ("cond-mat", "astro-ph", "q-bio", "q-fin")) -> Column:
     """The category named by the segment after arxiv/: a-b becomes a.B, known prefixes with a dash keep their suffix's case."""
     seg = F.regexp_extract(path, "(?:^|/)arxiv/([^/]+)", 1)
-    known = F.coalesce(*[F.when(seg == p, F.lit(p)).when(seg.startswith(p + "-"), F.concat(F.lit(p + "."), F.substring(seg, len(p) + 2, 100))) for p in multi_dash])
+    known = F.coalesce(*[F.when(seg == p, F.lit(p)).when(seg.startswith(p + "-"), F.concat(F.lit(p + "."), F.substring(seg, len(p) + 2, 2**31 - 1))) for p in multi_dash])
     plain = F.when(seg.rlike("^[^-]+-[^-]+$"), F.concat(F.regexp_extract(seg, "^([^-]+)-", 1), F.lit("."), F.upper(F.regexp_extract(seg, "-([^-]+)$", 1)))).otherwise(seg)
     return F.when(seg != "", F.coalesce(known, plain))
 

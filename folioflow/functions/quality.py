@@ -12,6 +12,7 @@ FUNCTION_WORDS = {
     "fr": "le de et la les des un une est du en dans que qui pour".split(),
     "ru": "и в не на что с по это как а то все она они из за для".split(),
 }
+#: Least numbers of words by profile.
 MIN_WORDS = {"web": 50, "scholarly": 15}
 
 
@@ -25,13 +26,13 @@ def body_measures(text: Column, w: Column) -> Column:
 
 
 def body_status(words_: Column, mean_len: Column, symbols: Column, top_share: Column, profile: str = "web") -> Column:
-    """empty, ok, too_short, low_quality or soft_signal."""
+    """empty, ok, too_short, low_quality or soft_signal. A text without words is empty if it has no signs either (symbols is 0)."""
     short = words_ < MIN_WORDS[profile]
     odd = (mean_len < 2.5) | (mean_len > 12.0) | (symbols > 0.12)
     repeats = top_share > 0.22
     if profile == "web":
-        return F.when(words_ == 0, "empty").when(short, "too_short").when(odd | repeats, "low_quality").otherwise("ok")
-    return F.when(words_ == 0, "empty").when(short | odd | repeats, "soft_signal").otherwise("ok")
+        return F.when((words_ == 0) & (symbols == 0), "empty").when(short, "too_short").when(odd | repeats, "low_quality").otherwise("ok")
+    return F.when((words_ == 0) & (symbols == 0), "empty").when(short | odd | repeats, "soft_signal").otherwise("ok")
 
 
 def with_language(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -82,7 +83,8 @@ def heading(line: Column) -> Column:
     return F.when(t.rlike(atx), result(F.trim(F.regexp_extract(t, atx, 2)), F.length(F.regexp_extract(t, atx, 1)), "atx")).when(fits, result(F.concat(number, F.lit(" "), title), level, "numbered"))
 
 
-def full_text_status(text: Column, min_words: int = 20) -> Column:
-    """empty_source, no_substantive_body or ok: by words outside headings, links and separators."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(#|---|\[|!\[|\||https?://)"))
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty_source").when(F.size(F.filter(F.split(F.array_join(lines, " "), r"\s+"), lambda x: x != "")) < min_words, "no_substantive_body").otherwise("ok")
+def full_text_status(text: Column) -> Column:
+    """empty_source, no_substantive_body or ok: whether some line is neither blank nor a heading."""
+    t = F.coalesce(text, F.lit(""))
+    body = F.exists(F.split(t, r"\r\n|[\n\r]"), lambda x: x.rlike(r"^\s*[^\s#]"))
+    return F.when(~t.rlike(r"\S"), "empty_source").when(body, "ok").otherwise("no_substantive_body")

@@ -54,3 +54,8 @@ def edge_resolution(old_valid: Column, old_invalid: Column, new_valid: Column, n
 def backoff_seconds(retries: Column) -> Column:
     """A day, times three for each retry, at most thirty days."""
     return F.least(F.lit(float(DAY)) * F.pow(F.lit(3.0), retries.cast("double")), F.lit(float(MAX_DELAY))).cast("long")
+
+
+def edge_active(at: Column, valid_at: Column, invalid_at: Column, retroactive_to: Column) -> Column:
+    """Whether an edge holds at a time, from its start or the earlier one it was extended to; without an end it goes on."""
+    return F.coalesce((F.coalesce(retroactive_to, valid_at) <= at) & (invalid_at.isNull() | (at < invalid_at)), F.lit(False))

@@ -125,7 +125,7 @@ def degree_rank(edges: DataFrame) -> DataFrame:
     return degrees(edges).select("node_id", (F.col("degree") * 0.1).alias("rank"))
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node_id, component) of strongly connected nodes, the least id naming each. For graphs of modest diameter.
 
     In each round the greatest id that reaches a node colours it; nodes that their colour's node is reached from by
@@ -134,9 +134,7 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     left = staged(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
     nodes = staged(edges.select(F.col("src").alias("n")).union(edges.select(F.col("dst").alias("n"))).distinct(), "scc-nodes")
     done = None
-    for _ in range(rounds):
-        if nodes.isEmpty():
-            break
+    while not nodes.isEmpty():
         colour = staged(nodes.withColumn("c", F.col("n")), "scc-colour")
         while True:
             push = left.join(colour, left["src"] == colour["n"]).select(F.col("dst").alias("n"), "c")
@@ -159,6 +157,8 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         gone = back.select("n")
         nodes = staged(nodes.join(gone, "n", "left_anti"), "scc-nodes")
         left = staged(left.join(gone, left["src"] == gone["n"], "left_anti").join(gone, F.col("dst") == gone["n"], "left_anti"), "scc-edges")
+    if done is None:
+        return nodes.select(F.col("n").alias("node_id"), F.col("n").alias("component"))
     least = done.groupBy("c").agg(F.min("n").alias("component"))
     return done.join(least, "c").select(F.col("n").alias("node_id"), "component")
 
@@ -185,7 +185,7 @@ def clusters(mentions: DataFrame, min_papers: int = 5, min_shared: int = 3) -> D
 
     m = mentions.select("label", "entity_type", "paper_id").distinct()
     n = m.groupBy("label", "entity_type").agg(F.count("*").alias("papers"))
-    single = n.where(F.col("papers") >= min_papers).select("label", cluster_type(F.col("entity_type")).alias("cluster_type"), F.lit(1).alias("members"), "papers")
+    single = n.where(F.col("papers") >= min_papers).select(F.concat("label", F.lit(" mentions")).alias("label"), cluster_type(F.col("entity_type")).alias("cluster_type"), F.lit(1).alias("members"), "papers")
     often = m.join(n.where(F.col("papers") >= min_shared).select("label", "entity_type"), ["label", "entity_type"])
     a, b = often.select("paper_id", F.col("label").alias("a"), F.col("entity_type").alias("ta")), often.select("paper_id", F.col("label").alias("b"), F.col("entity_type").alias("tb"))
     pairs = a.join(b, "paper_id").where("a < b").groupBy("a", "b", "ta", "tb").agg(F.count("*").alias("papers")).where(F.col("papers") >= min_shared)

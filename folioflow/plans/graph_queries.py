@@ -65,9 +65,12 @@ def from_entity(spark, d):
     return edges(spark, d).where(F.col("src") == 3 * STRIDE + 5).select("edge_type", "dst")
 
 
-@query(f"{WITH} SELECT node_id, label FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.node_id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.node_id)")
+@query(f"""{WITH}, every AS (SELECT node_id, label FROM nodes UNION ALL SELECT {5 * STRIDE} + n_nationkey, 'Nation' FROM nation), ends AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)
+SELECT node_id, label FROM every LEFT JOIN ends ON id = node_id WHERE id IS NULL""")
 def orphans(spark, d):
-    return G.orphans(nodes(spark, d), edges(spark, d)).select("node_id", "label")
+    """Among the graph's nodes and the nations, which no edge touches."""
+    nations = table(spark, d, "nation").select((F.lit(5 * STRIDE) + F.col("n_nationkey")).alias("node_id"), F.lit("Nation").alias("label"))
+    return G.orphans(nodes(spark, d).select("node_id", "label").union(nations), edges(spark, d)).select("node_id", "label")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -94,16 +97,10 @@ def cross_source_entities(spark, d):
 
 
 @query(f"""{REC}, r(seed, node_id, depth) AS (
-  SELECT node_id, node_id, 0 FROM nodes WHERE label = 'Customer' AND node_id <= {STRIDE + 40}
+  SELECT node_id, node_id, 0 FROM nodes WHERE label = 'Customer' AND node_id % 50 = 0
   UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node_id WHERE r.depth < 3
 ) SELECT seed, node_id, min(depth)::INT AS depth FROM r GROUP BY seed, node_id""")
 def k_hop_neighbourhood(spark, d):
-    seeds = nodes(spark, d).where(F.col("label") == "Customer").where(F.col("node_id") <= STRIDE + 40).select("node_id")
-    return G.reach(edges(spark, d), seeds, 3)
-
-
-@query()
-def k_hop_neighbourhood_whole(spark, d):
     """From every customer whose key can be divided by 50."""
     return G.reach(edges(spark, d), _seeds(spark, d), 3)
 
@@ -117,19 +114,13 @@ def citation_neighbourhood(spark, d):
     return out.select("node_id").join(G.eligible(n), "node_id").select("vid").orderBy("vid").limit(100)
 
 
-@query(f"""{WITH}, a AS (SELECT node_id AS anchor FROM nodes WHERE label = 'Customer' AND node_id <= {STRIDE + 20}),
+@query(f"""{WITH}, a AS (SELECT node_id AS anchor FROM nodes WHERE label = 'Customer' AND node_id % 50 = 0),
 one AS (SELECT DISTINCT anchor, src AS s, dst AS d, edge_type FROM a JOIN edges ON src = anchor WHERE dst <> anchor),
 two AS (SELECT DISTINCT one.anchor, e.src AS s, e.dst AS d, e.edge_type FROM (SELECT DISTINCT anchor, d FROM one) one JOIN edges e ON e.src = one.d)
 SELECT a.anchor, (SELECT count(DISTINCT d) FROM one WHERE one.anchor = a.anchor)::BIGINT AS first_hop,
   (SELECT count(DISTINCT d) FROM two WHERE two.anchor = a.anchor AND two.d <> a.anchor AND NOT EXISTS (SELECT 1 FROM one WHERE one.anchor = two.anchor AND one.d = two.d))::BIGINT AS second_hop,
   (SELECT count(*) FROM (SELECT * FROM one WHERE one.anchor = a.anchor UNION SELECT * FROM two WHERE two.anchor = a.anchor))::BIGINT AS edges FROM a""")
 def two_hop_preview(spark, d):
-    anchors = nodes(spark, d).where(F.col("label") == "Customer").where(F.col("node_id") <= STRIDE + 20)
-    return G.two_hop_preview(edges(spark, d), anchors)
-
-
-@query()
-def two_hop_preview_whole(spark, d):
     """For every customer whose key can be divided by 50."""
     return G.two_hop_preview(edges(spark, d), _seeds(spark, d))
 
@@ -164,27 +155,17 @@ def similarity_edges(spark, d):
     return G.similar_pairs(table(spark, d, "embeddings"), 0.4, "label").withColumn("similarity", F.round("similarity", 6))
 
 
-def _nation_edges(spark, d):
-    """Who supplies whom, by nation: a small dense graph with weights."""
-    line, o, c, s = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    j = line.select("l_orderkey", "l_suppkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.where("c_nationkey < s_nationkey").groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-
-
-_NATION_SQL = """e AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey GROUP BY 1, 2),
-sh AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM e), n AS (SELECT src AS node_id FROM e UNION SELECT dst FROM e),
-r0 AS (SELECT node_id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)"""
-
-
 def _step(i: int) -> str:
-    return f"""r{i} AS (SELECT n.node_id, (1.0 / (SELECT count(*) FROM n)) * (0.15 + 0.85 * coalesce((SELECT sum(rank) FROM r{i - 1} WHERE node_id NOT IN (SELECT src FROM e)), 0)) + 0.85 * coalesce(g.got, 0) AS rank
+    return f"""r{i} AS MATERIALIZED (SELECT n.node_id, (1.0 / (SELECT count(*) FROM n)) * (0.15 + 0.85 * coalesce((SELECT sum(rank) FROM r{i - 1} LEFT JOIN outs ON outs.src = node_id WHERE outs.src IS NULL), 0)) + 0.85 * coalesce(g.got, 0) AS rank
   FROM n LEFT JOIN (SELECT dst, sum(rank * share) AS got FROM r{i - 1} JOIN sh ON node_id = src GROUP BY dst) g ON g.dst = n.node_id)"""
 
 
-@query(f"WITH {_NATION_SQL}, {', '.join(_step(i) for i in range(1, 6))} SELECT node_id, round(rank, 6) AS rank FROM r5")
+@query(f"""{WITH}, e AS MATERIALIZED (SELECT src, dst, sum(CASE WHEN weight > 0 THEN weight ELSE 1 END) AS w FROM edges GROUP BY src, dst),
+sh AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM e), outs AS MATERIALIZED (SELECT DISTINCT src FROM e),
+n AS MATERIALIZED (SELECT src AS node_id FROM e UNION SELECT dst FROM e), r0 AS MATERIALIZED (SELECT node_id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n),
+{', '.join(_step(i) for i in range(1, 21))} SELECT node_id, round(rank, 9) AS rank FROM r20""")
 def pagerank(spark, d):
-    return G.pagerank(_nation_edges(spark, d), iterations=5).withColumn("rank", F.round("rank", 6))
+    return G.pagerank(edges(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
 @query(f"{WITH} SELECT node_id, round((sum(c) * 0.1)::DOUBLE, 6) AS rank FROM (SELECT src AS node_id, count(*) AS c FROM edges GROUP BY 1 UNION ALL SELECT dst, count(*) FROM edges GROUP BY 1) GROUP BY node_id")
@@ -192,29 +173,11 @@ def degree_rank_fallback(spark, d):
     return G.degree_rank(edges(spark, d)).withColumn("rank", F.round("rank", 6))
 
 
-def _small_links(spark, d):
-    """Orders to parts of the returned lines with large quantities: a sparse graph of many components."""
-    line = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49")
-    return line.select((F.lit(2 * STRIDE) + F.col("l_orderkey")).alias("src"), (F.lit(3 * STRIDE) + F.col("l_partkey")).alias("dst"))
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT {2 * STRIDE} + l_orderkey AS a, {3 * STRIDE} + l_partkey AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT a, a FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y)
-SELECT x AS node_id, min(y) AS component FROM r GROUP BY x""")
-def weak_components(spark, d):
-    return G.components(_small_links(spark, d))
-
-
 @query()
-def weak_components_whole(spark, d):
+def weak_components(spark, d):
     return G.components(edges(spark, d))
 
 
-@query()
-def pagerank_whole(spark, d):
-    return G.pagerank(edges(spark, d))
-
-
 @query()
 def strong_components(spark, d):
     """Nations that supply each other, in both directions; the least key names a component."""
@@ -229,7 +192,7 @@ def _mentions(spark, d):
 
 
 @query("""WITH m AS (SELECT DISTINCT p_brand AS label, l_orderkey AS paper_id FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT label, count(*) AS papers FROM m GROUP BY label)
-SELECT label, 'method_family' AS cluster_type, 1 AS members, papers::BIGINT AS papers FROM n WHERE papers >= 5
+SELECT label || ' mentions' AS label, 'method_family' AS cluster_type, 1 AS members, papers::BIGINT AS papers FROM n WHERE papers >= 5
 UNION ALL SELECT a.label || ' + ' || b.label, 'method_family', 2, count(*)::BIGINT FROM m a JOIN m b ON a.paper_id = b.paper_id AND a.label < b.label GROUP BY a.label, b.label HAVING count(*) >= 3""")
 def entity_clusters(spark, d):
     return G.clusters(_mentions(spark, d), 5, 3)

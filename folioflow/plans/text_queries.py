@@ -8,6 +8,7 @@ from ..functions import classify, quality, text
 from ..operators import extraction as X
 from ..operators import retrieval as R
 from ..sources import markup
+from ..shipping import ship
 from .base import query, table
 
 
@@ -39,11 +40,13 @@ def html_sections(spark, d):
 
 @query()
 def html_main_content(spark, d):
+    ship(spark)
     return table(spark, d, "pages").select("page_id", markup.html_main(F.col("html")).alias("m")).select("page_id", "m.main", F.round("m.ratio", 6).alias("ratio"))
 
 
 @query()
 def html_document_hash(spark, d):
+    ship(spark)
     return table(spark, d, "pages").select("page_id", markup.djb2_hex(F.col("html")).alias("hash"))
 
 
@@ -67,13 +70,19 @@ g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELEC
 t AS (SELECT doc_id, max(c) / sum(c)::DOUBLE AS share FROM (SELECT doc_id, g, count(*) AS c FROM g GROUP BY 1, 2) GROUP BY 1),
 m AS (SELECT w.doc_id, len(w) AS n, CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w)::DOUBLE ELSE 0 END AS ml, CASE WHEN len(w) > 0 THEN len(regexp_extract_all(text, '[#….!?$%*@]+')) / len(w)::DOUBLE ELSE CASE WHEN trim(text) = '' THEN 0 ELSE 1 END END AS sr, coalesce(share, 0) AS ts FROM w LEFT JOIN t USING (doc_id))
 SELECT doc_id, n::INT AS word_count, round(ml, 4) AS mean_word_len, round(sr, 4) AS symbol_ratio, round(ts, 4) AS ngram_repetition,
-  CASE WHEN n = 0 THEN 'empty' WHEN n < 50 THEN 'too_short' WHEN ml < 2.5 OR ml > 12 OR sr > 0.12 OR ts > 0.22 THEN 'low_quality' ELSE 'ok' END AS status FROM m""")
+  CASE WHEN n = 0 AND sr = 0 THEN 'empty' WHEN n < 50 THEN 'too_short' WHEN ml < 2.5 OR ml > 12 OR sr > 0.12 OR ts > 0.22 THEN 'low_quality' ELSE 'ok' END AS status FROM m""")
 def body_quality(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", text.words(F.col("text")).alias("w"))
     n = F.size("w")
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    g = docs.where(n >= 6).select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c")).groupBy("doc_id").agg((F.max("c") / F.sum("c")).alias("share"))
-    m = docs.select("doc_id", quality.body_measures(F.col("text"), F.col("w")).alias("m")).select("doc_id", "m.*").join(g, "doc_id", "left").fillna({"share": 0.0})
+    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    # equal trigrams are neighbours once their hashes are sorted, so the longest run is the highest count: no shuffle
+    docs = docs.withColumn("g", F.when(n >= 6, F.sort_array(grams)))
+    run = F.aggregate(
+        "g", F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("top")),
+        lambda a, x: F.struct(x.alias("last"), F.when((a["n"] > 0) & (a["last"] == x), a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["top"], F.when((a["n"] > 0) & (a["last"] == x), a["n"] + 1).otherwise(1)).alias("top")),
+        lambda a: a["top"],
+    )
+    m = docs.select("doc_id", quality.body_measures(F.col("text"), F.col("w")).alias("m"), F.coalesce(run / F.size("g"), F.lit(0.0)).alias("share")).select("doc_id", "m.*", "share")
     return m.select("doc_id", "word_count", F.round("mean_word_len", 4).alias("mean_word_len"), F.round("symbol_ratio", 4).alias("symbol_ratio"), F.round("share", 4).alias("ngram_repetition"), quality.body_status(F.col("word_count"), F.col("mean_word_len"), F.col("symbol_ratio"), F.col("share")).alias("status"))
 
 
@@ -99,15 +108,14 @@ def outline_signals(spark, d):
     return lines.withColumn("h", quality.heading(F.col("line"))).where("h IS NOT NULL").select("doc_id", "line_index", "h.source")
 
 
-@query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_source' ELSE 'has_text' END AS status FROM documents")
-def full_text_presence(spark, d):
-    s = quality.full_text_status(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.when(s == "empty_source", s).otherwise("has_text").alias("status"))
-
-
-@query()
+@query(r"""WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT -1 - n_nationkey, '# ' || n_name || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '## ' || n_name ELSE 'of region ' || n_regionkey END FROM nation)
+SELECT id, CASE WHEN NOT regexp_matches(t, '\S') THEN 'empty_source' WHEN len([x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '^\s*[^\s#]')]) > 0 THEN 'ok' ELSE 'no_substantive_body' END AS status FROM t""")
 def full_text_quality(spark, d):
-    return table(spark, d, "documents").select("doc_id", quality.full_text_status(F.col("text")).alias("status"))
+    """Of documents, and of short pages that are headings alone, or a heading with one line."""
+    n = table(spark, d, "nation")
+    page = F.concat(F.lit("# "), F.col("n_name"), F.lit("\n"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("## "), F.col("n_name"))).otherwise(F.concat(F.lit("of region "), F.col("n_regionkey").cast("string"))))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").union(n.select((-1 - F.col("n_nationkey")).cast("long"), page))
+    return rows.select("id", quality.full_text_status(F.col("text")).alias("status"))
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]', '_', 'g'), '_') AS slug, CASE WHEN trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'item' ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END AS dash_slug,
@@ -216,4 +224,5 @@ def semantic_blocks(spark, d):
 
 @query()
 def normalise_unicode(spark, d):
+    ship(spark)
     return table(spark, d, "documents").select("doc_id", text.normal_unicode(F.col("text")).alias("text"))

@@ -56,16 +56,20 @@ def write_report(rows: DataFrame, path: str, lines: bool = True) -> None:
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
+    """One Markdown table of all rows; more than limit rows are an error, as a report is gathered on the driver."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"a Markdown report of more than {limit} rows: write it as JSON lines")
     head = "| " + " | ".join(rows.columns) + " |\n|" + " --- |" * len(rows.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(limit).collect())])
+    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)])
 
 
 WORK = """id string, title string, doi string, publication_date string, cited_by_count int,
 primary_topic struct<id: string, display_name: string, domain: string, field: string, subfield: string>,
 concepts array<struct<id: string, display_name: string, level: int, score: double>>,
 authorships array<struct<author: struct<id: string, display_name: string, orcid: string>,
-  institutions array<struct<id: string, display_name: string, country_code: string, ror: string>>>>,
-referenced_works array<string>""".replace("institutions array", "institutions: array")
+  institutions: array<struct<id: string, display_name: string, country_code: string, ror: string>>>>,
+referenced_works array<string>"""
 
 
 def parse_works(raw: DataFrame, col: str = "value") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +58,15 @@ def html_sections(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return parts.select("id", "ord", F.regexp_extract("part", r"(?i)^<h([1-3])", 1).cast("int").alias("level"), F.trim(strip_tags(F.regexp_extract("part", r"(?is)^<h[1-3][^>]*>(.*?)</h[1-3]>", 1))).alias("title"), F.trim(F.regexp_replace(strip_tags(text), r"\s+", " ")).alias("text"))
 
 
+def _powers(n: int) -> np.ndarray:
+    """33^(n-1) .. 33^0 modulo 2^64."""
+    return np.concatenate([np.cumprod(np.full(n - 1, 33, np.uint64))[::-1], np.ones(1, np.uint64)]) if n else np.empty(0, np.uint64)
+
+
 def djb2(data: bytes) -> int:
-    """The 64-bit string hash h * 33 + byte, by unrolling through a polynomial's Horner form."""
-    h = 5381
-    for b in data:
-        h = (h * 33 + b) & 0xFFFFFFFFFFFFFFFF
-    return h
+    """The 64-bit string hash h * 33 + byte from 5381 on, as the sum of its polynomial."""
+    n = len(data)
+    return int((np.frombuffer(data, np.uint8) * _powers(n)).sum(dtype=np.uint64) + np.uint64(5381 * pow(33, n, 2**64) % 2**64)) % 2**64
 
 
 @F.pandas_udf(StringType())
@@ -79,8 +83,16 @@ class _Main(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack, self.text = [], {"article": [], "body": [], "all": []}
 
+    #: Tags that have no end.
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    #: Tags that end whatever part of the page still stands open.
+    PARTS = {"article", "main", "footer", "body"}
+
     def handle_starttag(self, tag, attrs):
-        self.stack.append(tag)
+        if tag in self.PARTS and self.DROP & set(self.stack):  # a nav or aside that was never closed ends here
+            del self.stack[min(self.stack.index(x) for x in self.DROP & set(self.stack)) :]
+        if tag not in self.VOID:
+            self.stack.append(tag)
         if re.fullmatch("h[1-6]", tag):
             self._add("\n" + "#" * int(tag[1]) + " ")
 

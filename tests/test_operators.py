@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import evaluation, extraction, graph, lifecycle, retrieval
+import __spark_entry__  # noqa: F401  (it registers the queries)
+from folioflow.functions import quality
+from folioflow.operators import evaluation, extraction, graph, lifecycle, packages, retrieval
 from folioflow.sources import files, markup
 from folioflow.streaming import ingest
 
@@ -36,7 +38,7 @@ def test_pagerank_sums_to_one_and_follows_seeds(spark):
 def test_clusters(spark):
     rows = [("GPT-4", "Model", p) for p in range(6)] + [("PPO", "Method", p) for p in range(4)] + [("GRPO", "Method", p) for p in range(4)] + [("rare", "Task", 1)]
     got = {r["label"]: (r["cluster_type"], r["members"]) for r in graph.clusters(spark.createDataFrame(rows, "label string, entity_type string, paper_id int")).collect()}
-    assert got["GPT-4"] == ("concept_cluster", 1) and got["GRPO + PPO"] == ("method_family", 2) and "rare" not in got
+    assert got["GPT-4 mentions"] == ("concept_cluster", 1) and got["GRPO + PPO"] == ("method_family", 2) and "rare mentions" not in got
 
 
 def test_zero_vectors_are_an_error(spark):
@@ -223,7 +225,7 @@ def test_whole_graph_queries(spark):
     for a, b, _ in e:
         a, b = sorted((find(a), find(b)))
         top[b] = a
-    got = QUERIES["weak_components_whole"](spark, d).collect()
+    got = QUERIES["weak_components"](spark, d).collect()
     assert len(got) == len(top) and {r["node_id"]: r["component"] for r in got} == {n: find(n) for n in top}
 
     out = {}
@@ -239,7 +241,7 @@ def test_whole_graph_queries(spark):
             for b, w in to.items():
                 new[b] += 0.85 * rank[a] * w / total
         rank = new
-    got = {r["node_id"]: r["rank"] for r in QUERIES["pagerank_whole"](spark, d).collect()}
+    got = {r["node_id"]: r["rank"] for r in QUERIES["pagerank"](spark, d).collect()}
     assert set(got) == set(rank) and all(abs(got[n] - rank[n]) < 1e-9 for n in rank)
 
 
@@ -259,8 +261,8 @@ def test_whole_seed_queries(spark):
             seen |= dict.fromkeys(now, depth)
         want |= {(s, n, k) for n, k in seen.items()}
         first[s] = sum(k == 1 for k in seen.values()), sum(k == 2 for k in seen.values())
-    assert first and {(r["seed"], r["node_id"], r["depth"]) for r in QUERIES["k_hop_neighbourhood_whole"](spark, d).collect()} == want
-    assert {r["anchor"]: (r["first_hop"], r["second_hop"]) for r in QUERIES["two_hop_preview_whole"](spark, d).collect()} == first
+    assert first and {(r["seed"], r["node_id"], r["depth"]) for r in QUERIES["k_hop_neighbourhood"](spark, d).collect()} == want
+    assert {r["anchor"]: (r["first_hop"], r["second_hop"]) for r in QUERIES["two_hop_preview"](spark, d).collect()} == first
 
 
 def test_all_records_are_ranked(spark):
@@ -269,7 +271,7 @@ def test_all_records_are_ranked(spark):
     d = "/root/testdata/sf0.001"
     parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice").collect()
     order = sorted(parts, key=lambda r: (-r["p_retailprice"], r["p_partkey"]))
-    assert {(r["p_partkey"], r["rank"]) for r in QUERIES["rank_records_whole"](spark, d).collect()} == {(r["p_partkey"], i) for i, r in enumerate(order, 1)}
+    assert {(r["p_partkey"], r["rank"]) for r in QUERIES["rank_records"](spark, d).collect()} == {(r["p_partkey"], i) for i, r in enumerate(order, 1)}
     odd = spark.createDataFrame([(1, 0.5), (2, float("nan")), (3, None), (4, 0.5), (5, -1.0)], "id long, s double")
     assert {r["id"]: r["rank"] for r in retrieval.ranked(odd, "id", "s").collect()} == {1: 1, 4: 2, 2: 3, 3: 4, 5: 5}
     assert retrieval.ranked(odd.where("false"), "id", "s").count() == 0
@@ -283,3 +285,37 @@ def test_short_items_are_held(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in _held(docs, spark.createDataFrame(items, "item_id long, item string")).collect()]
     assert sorted(got) == sorted((i, k) for i, t in enumerate(texts) for k, x in items if t is not None and x is not None and x in t)
+
+
+def test_shortest_paths_and_components_of_nothing(spark):
+    rows = [(1, 2, "T", 5.0), (1, 3, "T", 1.0), (3, 2, "T", 1.5), (2, 4, "T", 0.0), (4, 1, "T", 1.0)]
+    e = spark.createDataFrame(rows, "src long, dst long, edge_type string, weight double")
+    got = {(r["source"], r["node_id"]): r["distance"] for r in packages.shortest_paths(e, spark.createDataFrame([(1,), (9,)], "node_id long")).collect()}
+    assert got == {(1, 1): 0.0, (1, 3): 1.0, (1, 2): 2.5, (1, 4): 3.5, (9, 9): 0.0}
+    assert graph.strong_components(e.where("false")).count() == 0
+
+
+def test_full_text_status(spark):
+    rows = [("# T\nshort body here", "ok"), ("# T\n  ## U\n", "no_substantive_body"), (" \n\t", "empty_source"), (None, "empty_source"), ("x", "ok"), ("#\n\n  text", "ok")]
+    got = spark.createDataFrame(rows, "t string, want string").select(quality.full_text_status(F.col("t")).alias("s"), "want").collect()
+    assert all(r["s"] == r["want"] for r in got)
+
+
+def test_html_parts_and_hash(spark):
+    def plain(data):
+        h = 5381
+        for b in data:
+            h = (h * 33 + b) % 2**64
+        return h
+
+    for data in (b"", b"a", "straße und mehr".encode() * 50):
+        assert markup.djb2(data) == plain(data)
+    page = "<html><body><nav>menu<br><img src=x><article><h1>Title</h1><p>Text<br>more</p></article><aside>ads</aside></body></html>"
+    got = spark.createDataFrame([(page,)], "h string").select(markup.html_main(F.col("h")).alias("m")).first()["m"]
+    assert "Text" in got["main"] and "Title" in got["main"] and "ads" not in got["main"] and "menu" not in got["main"]
+
+
+def test_reports_have_all_rows(spark):
+    assert files.markdown(spark.range(5)).count("\n") == 6
+    with pytest.raises(ValueError, match="more than"):
+        files.markdown(spark.range(5), limit=4)
