@@ -37,30 +37,29 @@ LINE = ["doc_id", "text_key", "item", "form", "line"]
 NAME, NUMBER, UNIT = "\u0001n", "\u0001d", "\u0001u"
 
 
-def _plain(text: Column) -> Column:
-    """The text with marked names (\\u0001 before them), lowered, without punctuation; its words keep their values."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, "[\u0001-\u0003]", " ")
+def _template(df: DataFrame, text_col: str) -> DataFrame:
+    """df with __t, the template words of a text, and place by place __v, the values they stand for.
+
+    The steps are columns of their own, each used more than once by the next, so that each is computed once a row.
+    """
+    t = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\u0001-\u0003]", " ")
     # a capitalised word right after a word that ends no sentence is a name
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;][\x20\x09-\x0D])(?=\p{Lu}\p{Ll})", "\u0001")
     # names with nothing but space between them are one word
     t = F.regexp_replace(t, "(\u0001[^\\x20\\x09-\\x0D,;\u0001]*)[\\x20\\x09-\\x0D]+(?=\u0001)", "$1\u0003")
-    digits = F.regexp_replace(F.regexp_replace(t, r"(?<=\p{N})[.,:](?=\p{N})", "\u0002"), r"(?<=\p{N})(?=\p{L})|(?<=\p{N})(?=%)", " ")
-    t = F.when(t.rlike(r"\p{N}"), digits).otherwise(t)
-    t = F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}\\x20\\x09-\\x0D\u0001-\u0003%]+", "")
-    return F.lower(t)
-
-
-def template_words(text: Column) -> tuple[Column, Column]:
-    """Template words and, place by place, the values they stand for."""
-    plain = F.trim(_plain(text), F.lit(SPACE))
-    values = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, SPACES))
-    t = F.regexp_replace(plain, "\u0001[^\\x20\\x09-\\x0D]*", NAME)
+    df = df.withColumn("__a", t)
+    digits = F.regexp_replace(F.regexp_replace("__a", r"(?<=\p{N})[.,:](?=\p{N})", "\u0002"), r"(?<=\p{N})(?=\p{L})|(?<=\p{N})(?=%)", " ")
+    df = df.withColumn("__b", F.when(F.col("__a").rlike(r"\p{N}"), digits).otherwise(F.col("__a")))
+    bare = F.lower(F.regexp_replace("__b", "[^\\p{L}\\p{N}\\p{M}\\x20\\x09-\\x0D\u0001-\u0003%]+", ""))
+    df = df.withColumn("__p", F.trim(bare, F.lit(SPACE)))
+    df = df.withColumn("__q", F.regexp_replace("__p", "\u0001[^\\x20\\x09-\\x0D]*", NAME))
     units = "|".join([*UNITS.split(), "%"])
-    with_numbers = F.regexp_replace(t, "(?<![^\\x20\\x09-\\x0D])\\p{N}[\\p{N}\u0002]*(?![^\\x20\\x09-\\x0D])", NUMBER)
-    with_units = F.regexp_replace(with_numbers, f"(?<={NUMBER}[\\x20\\x09-\\x0D])(?:{units})(?![^\\x20\\x09-\\x0D])", UNIT)
-    t = F.when(t.rlike(r"\p{N}"), with_units).otherwise(t)
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACES)), values
+    numbers = F.regexp_replace("__q", "(?<![^\\x20\\x09-\\x0D])\\p{N}[\\p{N}\u0002]*(?![^\\x20\\x09-\\x0D])", NUMBER)
+    marked = F.regexp_replace(numbers, f"(?<={NUMBER}[\\x20\\x09-\\x0D])(?:{units})(?![^\\x20\\x09-\\x0D])", UNIT)
+    df = df.withColumn("__s", F.when(F.col("__q").rlike(r"\p{N}"), marked).otherwise(F.col("__q")))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("__v", F.when(F.col("__p") == "", none).otherwise(F.split("__p", SPACES))).withColumn("__t", F.when(F.col("__p") == "", none).otherwise(F.split("__s", SPACES)))
+    return df.drop("__a", "__b", "__p", "__q", "__s")
 
 
 def _windows(hashes: str, width: int, kind: int) -> Column:
@@ -71,8 +70,7 @@ def _windows(hashes: str, width: int, kind: int) -> Column:
 
 
 def _laid(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    words_, values = template_words(F.col(text_col))
-    laid = df.select(*keep, words_.alias("__t"), values.alias("__v"))
+    laid = _template(df.select(*keep, F.col(text_col).alias("__x")), "__x").drop("__x")
     return laid.withColumn("__h", F.transform("__t", lambda w: F.xxhash64(w))).withColumn("__n", F.size("__t"))
 
 
