@@ -156,7 +156,7 @@ class Lattice:
         n, longest = len(words[0]) + 1, min(self.longest, len(words[0]) + 1)
         chars = self._chars(["▁" + w for w in words], n)
         ends = np.full((len(words), n + 1, longest), -1, np.int64)
-        h = np.zeros((len(words), n + 1), np.uint64)
+        h, used = np.zeros((len(words), n + 1), np.uint64), 1
         for k in range(1, longest + 1):
             h = h[:, : n - k + 1] * np.uint64(_M) + chars[:, k - 1 :] + np.uint64(1)
             mixed = mix64(h)
@@ -164,7 +164,9 @@ class Lattice:
             got = mixed[row, at]
             place = np.minimum(np.searchsorted(self.keys, got), len(self.keys) - 1)
             hit = self.keys[place] == got if len(self.keys) else np.zeros(len(got), bool)
-            ends[row[hit], at[hit] + k, k - 1] = self.numbers[place[hit]]
+            if hit.any():
+                ends[row[hit], at[hit] + k, k - 1], used = self.numbers[place[hit]], k
+        ends = ends[:, :, :used]  # most words have no long piece
         extra = []
         row, at = np.nonzero(ends[:, 1:, 0] < 0)
         if len(row):
