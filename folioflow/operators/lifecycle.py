@@ -183,3 +183,10 @@ def run_stages(stages: list[tuple[str, list[str], object]], policy: str = "abort
                 if policy == "abort":
                     raise
     return state
+
+
+def validation_rollup(nodes: DataFrame, violations: DataFrame) -> DataFrame:
+    """(label, nodes, broken, critical, warning): nodes of each label, those with a violation, and violations by severity."""
+    per = violations.groupBy("node_id").agg(F.count(F.when(F.col("severity") == "critical", 1)).alias("c"), F.count(F.when(F.col("severity") == "warning", 1)).alias("w"))
+    j = nodes.select("node_id", "label").join(per, "node_id", "left")
+    return j.groupBy("label").agg(F.count("*").alias("nodes"), F.count("c").alias("broken"), F.coalesce(F.sum("c"), F.lit(0)).alias("critical"), F.coalesce(F.sum("w"), F.lit(0)).alias("warning"))

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (it registers the queries)
-from folioflow.functions import quality
-from folioflow.operators import evaluation, extraction, graph, lifecycle, packages, retrieval
+from folioflow.functions import claims, quality
+from folioflow.operators import evaluation, extraction, graph, jobs, lifecycle, packages, retrieval
 from folioflow.sources import files, markup
 from folioflow.streaming import ingest
 
@@ -319,3 +319,41 @@ def test_reports_have_all_rows(spark):
     assert files.markdown(spark.range(5)).count("\n") == 6
     with pytest.raises(ValueError, match="more than"):
         files.markdown(spark.range(5), limit=4)
+
+
+def test_queue(spark):
+    now = F.lit(100).cast("long")
+    schema = "job_id string, status string, priority int, attempt_count int, max_attempts int, retry_after long, lease_owner string, lease_until long, created_at long, extra string"
+    none = spark.createDataFrame([], schema)
+    new = spark.createDataFrame([("a", 1, 3), ("a", 0, 3), ("b", 2, 1), ("c", 5, 2), (None, 1, 1)], "job_id string, priority int, max_attempts int")
+    queued = jobs.enqueue(none, new, now)
+    assert {(r["job_id"], r["status"], r["priority"], r["created_at"]) for r in queued.collect()} == {("a", "pending", 0, 100), ("b", "pending", 2, 100), ("c", "pending", 5, 100)}
+    assert jobs.enqueue(queued, new, now).count() == 3
+    needs = spark.createDataFrame([("b", "a", None, None, None), ("c", None, "r", "h", None), ("c", None, "s", None, None)], "job_id string, needs_job string, needs_ref string, expected_hash string, required_status string")
+    artifacts = spark.createDataFrame([("r", "h"), ("s", "x")], "ref string, hash string")
+
+    def states(df):
+        return {r["job_id"]: r["status"] for r in df.collect()}
+
+    ready = jobs.settle(queued, needs, artifacts, now)
+    assert states(ready) == {"a": "ready", "b": "blocked", "c": "blocked"}
+    leased = lifecycle.claim(ready, "w", now, 10)
+    results = spark.createDataFrame([("a", "w", "complete", None, None), ("b", "w", "fail", None, None)], "job_id string, worker string, outcome string, retry_after long, lease_seconds int")
+    done = jobs.report(leased, results, now)
+    assert states(done) == {"a": "done", "b": "blocked", "c": "blocked"}
+    assert states(jobs.report(leased, results.withColumn("worker", F.lit("other")), now))["a"] == "leased"
+    after = jobs.settle(done, needs, artifacts, now)
+    assert states(after) == {"a": "done", "b": "ready", "c": "blocked"}
+    again = jobs.report(lifecycle.claim(after, "w", now, 10), results.withColumn("outcome", F.lit("retry")), now)
+    assert states(again)["b"] == "failed"
+    assert [(r["job_id"], r["from_status"], r["to_status"]) for r in jobs.log(done, after, "settle", now).collect()] == [("b", "blocked", "ready")]
+
+
+def test_claims(spark):
+    rows = [("The cat sat", "a cat; the DOG", True), (" ", "x", True), ("cat", None, True), ("cat", "cat", None), ("one two three four five", "one", True), ("a b", "a b", True)]
+    df = spark.createDataFrame(rows, "c string, s string, ok boolean")
+    got = [r[0] for r in df.select(claims.faithfulness(F.col("c"), F.col("s"), F.col("ok"))).collect()]
+    assert got == ["token_overlap", "empty_claim", "missing_span_text", "span_not_resolvable", "low_token_overlap", "low_token_overlap"]
+    places = [(" B C ", "a b c", (2, 5)), ("b c", "a B \n c.", (2, 7)), ("x", "abc", None), ("", "abc", None), (None, "abc", None), ("b", None, None), ("a.\\E c", "..a.\\E\tc", (2, 8))]
+    df = spark.createDataFrame([p[:2] for p in places], "s string, b string")
+    assert [r[0] and tuple(r[0]) for r in df.select(claims.locate(F.col("s"), F.col("b"))).collect()] == [p[2] for p in places]
