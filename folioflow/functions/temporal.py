@@ -17,6 +17,11 @@ def read_datetime(s: Column) -> Column:
     return F.when(t.isNull() | (t == "") | (t == "OPEN"), None).when(number.isNotNull(), F.timestamp_seconds(number)).otherwise(t.try_cast("timestamp"))
 
 
+def epoch_seconds(ts: Column) -> Column:
+    """Seconds since 1970 as a whole number, the nearest one, halves to the even one: what a cast of fractional seconds to an integer gives in the SQL."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("bigint")
+
+
 def is_active_at(valid_from: Column, valid_to: Column, at: Column) -> Column:
     """Half open [from, to); a missing side is unbounded."""
     return (valid_from.isNull() | (valid_from <= at)) & (valid_to.isNull() | (at < valid_to))

@@ -1,11 +1,13 @@
 """Operators on small hand-made tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (it registers the queries)
 from folioflow.functions import claims, quality
 from folioflow.operators import evaluation, extraction, graph, jobs, lifecycle, packages, retrieval
+from folioflow.plans.base import QUERIES, SQL
 from folioflow.sources import files, markup
 from folioflow.streaming import ingest
 
@@ -357,3 +359,14 @@ def test_claims(spark):
     places = [(" B C ", "a b c", (2, 5)), ("b c", "a B \n c.", (2, 7)), ("x", "abc", None), ("", "abc", None), (None, "abc", None), ("b", None, None), ("a.\\E c", "..a.\\E\tc", (2, 8))]
     df = spark.createDataFrame([p[:2] for p in places], "s string, b string")
     assert [r[0] and tuple(r[0]) for r in df.select(claims.locate(F.col("s"), F.col("b"))).collect()] == [p[2] for p in places]
+
+
+def test_due_rounds_seconds_as_its_sql(spark, tmp_path):
+    # a cast rounds, halves to the even second: half a second past the limit is still due, a microsecond more isn't
+    at = ["2024-01-18 23:59:59.999999", "2024-01-19 00:00:00.000000", "2024-01-19 00:00:00.499999", "2024-01-19 00:00:00.500000", "2024-01-19 00:00:00.500001", "2024-01-19 00:00:00.999999", "2024-01-19 00:00:01.000000", "1969-12-31 23:59:59.500000"]
+    rows = [(i, t, "error") for i, t in enumerate(at)] + [(100, at[0], "view"), (101, None, "error"), (102, at[0], None)]
+    spark.createDataFrame(rows, "event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(r[0] for r in db.execute(SQL["scheduler_due"]).fetchall())
+    assert sorted(r["event_id"] for r in QUERIES["scheduler_due"](spark, str(tmp_path)).collect()) == want == [0, 1, 2, 3, 7]
