@@ -536,3 +536,22 @@ def test_pipeline_on_a_small_table(spark):
         assert out.columns == docs.columns
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"shard", "slot"} <= set(got.columns) and got.count() > 0
+
+
+def test_all_trusted_texts_count(spark, monkeypatch):
+    # no bound on the texts of a language: each trusted one is fitted on or sets thresholds
+    ids = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    assert 6500 < kn_quality.fitted_on(ids, kn_quality.MAX_DOCS).count() < 7000
+    # counting in passes, and the way of large models, give the same
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["the", "the", "a", *[f"w{r.randrange(60)}" for _ in range(3)]]) for _ in range(r.randint(0, 30))), "en") for i in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    judged = lambda: sorted(tuple(x) for x in kn_quality.judge(d, labels).collect())
+    one = judged()
+    monkeypatch.setattr(kn_quality, "PASS_BYTES", 0)
+    monkeypatch.setattr(kn_quality, "PASSES", 3)
+    passes = judged()
+    monkeypatch.setattr(kn_quality, "MODEL_BYTES", 0)
+    for other in (passes, judged()):
+        assert all(x[:4] == y[:4] and x[6] == y[6] and (x[4] == y[4] or math.isclose(x[4], y[4], rel_tol=1e-9)) for x, y in zip(one, other, strict=True))
