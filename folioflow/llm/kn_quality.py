@@ -147,8 +147,8 @@ def _xxhash64(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _loaded(paths: dict[str, str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The model's tables as sorted keys and their values, read from the shared folder once a process."""
+def _loaded(paths: dict[str, str]) -> dict[str, tuple]:
+    """The model's tables as sorted keys, their values and an index of the keys, read from the shared folder once a process."""
     if paths != _model.get("paths"):
         import pyarrow.fs
         import pyarrow.parquet as pq
@@ -160,8 +160,11 @@ def _loaded(paths: dict[str, str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             t = pq.read_table(root, filesystem=fs, columns=["k", "x"])
             k, x = t.column("k").to_numpy().view(np.uint64), t.column("x").to_numpy()
             by = np.argsort(k)
-            # a last key that isn't met, so every place there is can be read
-            tables[name] = np.append(k[by], np.uint64(2**64 - 1)), np.append(x[by], np.nan)
+            k = np.append(k[by], np.uint64(2**64 - 1))  # a last key, so a search ends
+            # where the keys with each first bits start
+            shift = np.uint64(64 - max(len(by).bit_length(), 1))
+            firsts = np.arange(1 << (64 - int(shift)), dtype=np.uint64) << shift
+            tables[name] = k, np.append(x[by], np.nan), np.searchsorted(k[:-1], firsts), shift
         _model.update(paths=paths, tables=tables)
     return _model["tables"]
 
@@ -171,8 +174,12 @@ def _scorer(paths: dict[str, str], unknown: float):
         tables = _loaded(paths)
 
         def x(name: str, key: np.ndarray, other: float) -> np.ndarray:
-            keys, values = tables[name]
-            at = np.searchsorted(keys[:-1], key)
+            keys, values, starts, shift = tables[name]
+            at = starts[key >> shift]
+            less = np.flatnonzero(keys[at] < key)
+            while len(less):
+                at[less] += 1
+                less = less[keys[at[less]] < key[less]]
             return np.where((keys[at] == key) & (at < len(keys) - 1), values[at], other)
 
         for whole in batches:
